@@ -28,11 +28,13 @@ from tessera.tables import spread, table
 LANGUAGES = ("ru", "en", "uk", "de", "fr", "es")
 PER_LANGUAGE, LABELLED_QUERIES = 500, 6_000
 BUCKETS = 1 << 17
+#: Mean probability that the first round must give a query's label for the query to train the second.
+TRUSTED = 0.6
 MIN_SEGMENT_WORDS = 3
 #: Mean probability that each side of a mixed query must reach.
 SEGMENT_CONFIDENCE = 0.8
 #: The same where a separator stands between the sides.
-SEPARATED_CONFIDENCE = 0.5
+SEPARATED_CONFIDENCE = 0.4
 SEPARATOR = re.compile(r"[/,;:–—]| - ")
 
 #: Names of the languages in labels.
@@ -87,7 +89,7 @@ def word_features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
     low = word.lower().replace("’", "'")
     padded = f"^{low}$"
     out = [f"w={low}"] + [f"p{n}={low[:n]}" for n in (1, 2, 3) if len(low) >= n] + [f"s{n}={low[-n:]}" for n in (1, 2, 3, 4) if len(low) >= n]
-    out.append("cyr" if CYRILLIC.search(low) else "lat" if low.isascii() else "acc")
+    out.append("cyr" if CYRILLIC.search(low) else "name" if word[:1].isupper() else "lat")
     known = lexicon.get(low)
     if known:
         out += [f"lex={k}" for k, n in enumerate(known) if n == max(known)] + [f"only={k}" for k, n in enumerate(known) if n and sum(known) == n]
@@ -113,12 +115,21 @@ def encode(sequences: list[list[str]], lexicon) -> tuple[np.ndarray, np.ndarray]
     return x, length
 
 
+#: A word's script rules languages out, except that capitalised Latin words may be names in any text; these weights aren't trained.
+FIXED = {_hash("cyr"): (0, -8, 0, -8, -8, -8), _hash("lat"): (-8, 0, -8, 0, 0, 0)}
+
+
 class Crf:
     def __init__(self):
         n = len(LANGUAGES)
         self.emit = np.zeros((BUCKETS, n), dtype=np.float32)
         self.move = np.eye(n, dtype=np.float64) * 2.0
         self.lexicon: dict[str, tuple[int, ...]] = {}
+        self._fix()
+
+    def _fix(self) -> None:
+        for bucket, row in FIXED.items():
+            self.emit[bucket] = row
 
     def marginals(self, x: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word marginals [sequence, word, language], expected transitions summed over all words)."""
@@ -168,6 +179,7 @@ class Crf:
                 grad[used == 0] = 0
                 seen_e[used] += (grad**2).max(axis=1)
                 self.emit[used] += (rate * grad / np.sqrt(seen_e[used])[:, None]).astype(np.float32)
+                self._fix()
                 diff = moves - expected_moves
                 seen_m += diff**2
                 self.move += rate * diff / np.sqrt(seen_m)
@@ -202,20 +214,19 @@ def train(texts: list[tuple[str, str]], queries: list[tuple[str, str]], seed: in
         for part in _PART.split(text)[:40]:
             found = [w for w, _, _ in words(part)][:14]
             if len(found) > 2 and sum(_fits(w, index[lang]) for w in found) * 2 > len(found):
-                sequences.append(found)
+                sequences.append([w for w in found if _fits(w, index[lang])])
                 labels.append(index[lang])
     model = Crf()
     model.lexicon = _lexicon(sequences, labels)
-    _learn(model, sequences, labels, rng, epochs=1)
+    _learn(model, sequences, labels, rng, 1)
     kept = [([w for w, _, _ in words(q)], index[lang]) for q, lang in queries]
-    kept = [(s, y) for s, y in kept if s and sum(_fits(w, y) for w in s) * 2 > len(s)]
+    kept = [(s, y) for s, y in kept if s and all(_fits(w, y) or w[:1].isupper() for w in s)]
+    kept = [([w for w in s if _fits(w, y)], y) for s, y in kept]
     guessed = model.label([s for s, _ in kept])
-    trusted = [(s, y) for (s, y), p in zip(kept, guessed) if p[:, y].mean() > 0.5]
-    sequences += [s for s, _ in trusted]
-    labels += [y for _, y in trusted]
-    model.lexicon = _lexicon(sequences, labels)
-    model.emit[:] = 0
-    _learn(model, sequences, labels, rng)
+    trusted = [(s, y) for (s, y), p in zip(kept, guessed) if len(s) and p[:, y].mean() > TRUSTED]
+    asked, asked_labels = [s for s, _ in trusted], [y for _, y in trusted]
+    model.lexicon = _lexicon(sequences + asked, labels + asked_labels)
+    _learn(model, sequences, labels, rng, 4, asked, asked_labels)
     return model
 
 
@@ -227,22 +238,28 @@ def _lexicon(sequences: list[list[str]], labels: list[int]) -> dict[str, tuple[i
     return {w: tuple(c[w] if c[w] * 20 > n else 0 for c in counts) for w, n in total.items() if n > 1}
 
 
-def _learn(model: Crf, sequences: list[list[str]], labels: list[int], rng: np.random.Generator, epochs: int = 3) -> None:
+def _learn(model: Crf, sequences, labels, rng: np.random.Generator, epochs: int, asked=(), asked_labels=()) -> None:
+    """Fit on as many sequences of each language, half of them queries where there are any, and on joined ones."""
+    n = len(LANGUAGES)
+    from_texts = [[s for s, y in zip(sequences, labels) if y == k] for k in range(n)]
+    from_queries = [[s for s, y in zip(asked, asked_labels) if y == k] for k in range(n)]
+    present = [k for k in range(n) if from_texts[k] or from_queries[k]]
+
+    def draw(k: int) -> list[str]:
+        own = from_queries[k] if from_queries[k] and (not from_texts[k] or rng.random() < 0.5) else from_texts[k]
+        return own[rng.integers(len(own))]
+
     xs, ys = [], []
-    by = [[s for s, y in zip(sequences, labels) if y == k] for k in range(len(LANGUAGES))]
-    for k, own in enumerate(by):  # the rarer languages count as much as the others
-        if own:
-            for i in rng.integers(0, len(own), 2_000):
-                cut = own[i][int(rng.integers(0, 3)) :] or own[i]
-                xs.append(cut[:10])
-                ys.append([k] * len(xs[-1]))
-    present = [k for k in range(len(by)) if by[k]]
-    for _ in range(6_000 if len(present) > 1 else 0):
+    for k in present:
+        for _ in range(1_500):
+            s = draw(k)
+            xs.append((s[int(rng.integers(0, 3)) :] or s)[:10])
+            ys.append([k] * len(xs[-1]))
+    for _ in range(4_000 if len(present) > 1 else 0):
         a, b = rng.choice(present, 2, replace=False)
-        s, t = by[a][rng.integers(len(by[a]))], by[b][rng.integers(len(by[b]))]
-        n, m = int(rng.integers(3, 8)), int(rng.integers(3, 8))
-        xs.append(s[:n] + t[:m])
-        ys.append([a] * len(s[:n]) + [b] * len(t[:m]))
+        s, t = draw(a)[: int(rng.integers(3, 8))], draw(b)[: int(rng.integers(3, 8))]
+        xs.append(s + t)
+        ys.append([a] * len(s) + [b] * len(t))
     model.fit(xs, ys, epochs)
 
 
@@ -312,6 +329,17 @@ def decide(found, marginals: np.ndarray, text: str = "") -> tuple[list[tuple[str
     return [(LANGUAGES[k], 0, len(found), float(mean[k]))], False
 
 
+def _by_separator(model: Crf, found, text: str, report):
+    """A separator with enough words on both sides: the sides are labelled on their own, without the transition between them."""
+    for cut in range(MIN_SEGMENT_WORDS, len(found) - MIN_SEGMENT_WORDS + 1):
+        if SEPARATOR.search(text[found[cut - 1][2] : found[cut][1]]):
+            left, right = (m.mean(axis=0) for m in model.label([[w for w, _, _ in found[:cut]], [w for w, _, _ in found[cut:]]]))
+            a, b = int(left.argmax()), int(right.argmax())
+            if a != b and min(left[a], right[b]) >= SEPARATED_CONFIDENCE + 0.1:
+                return [(LANGUAGES[a], 0, cut, float(left[a])), (LANGUAGES[b], cut, len(found), float(right[b]))], True
+    return report, False
+
+
 def fit(documents: DataFrame, queries: DataFrame) -> Crf:
     """Train on a bounded sample: the rows with the smallest hashes of their ids, so any run gets the same."""
     texts: list[tuple[str, str]] = []
@@ -333,6 +361,8 @@ def _rows(model: Crf, batch: pa.RecordBatch) -> list[tuple]:
         part = have[at : at + 1024]
         for k, p in zip(part, model.label([[w for w, _, _ in found[k]] for k in part])):
             report, mixed = decide(found[k], p, meant[k])
+            if not mixed:
+                report, mixed = _by_separator(model, found[k], meant[k], report)
             for n, (lang, a, b, confidence) in enumerate(report):
                 out.append((ids[k], n, found[k][a][1] + 1, found[k][b - 1][2], lang, round(confidence, 6), mixed, normal_label(labels[k])))
     return out
