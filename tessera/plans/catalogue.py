@@ -1,4 +1,6 @@
 """All queries of the core by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tessera.plans import rank_queries, search_queries
+
+QUERIES = {**search_queries.QUERIES, **rank_queries.QUERIES}
+SQL = {**search_queries.SQL, **rank_queries.SQL}
