@@ -1,8 +1,8 @@
 """Problem 9: filling fixed-capacity containers with the texts, measured in tokens.
 
 Sizes come from the corpus encoder. Texts larger than the capacity are cut into full pieces, each of
-which fills a container, and a rest. Rows are hashed into groups of about ``GROUP`` items that are packed
-on their own (a group costs one container that isn't full), so no task grows with the table. Within a
+which fills a container, and a rest. The rows' sizes, not their texts, are hashed into groups of about ``GROUP`` items
+that are packed on their own (a group costs one container that isn't full), so no task grows with the table. Within a
 group the pool of sizes is a bit set, and each container is filled by best-two-fit: greedily with the
 largest size that fits the gap, then its smallest item is replaced with the two unpacked items that
 fit the widened gap best, if they leave less of it.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import TOKENIZER_DIR, load_merges, worker_encoder
 from tessera.tables import spread, table
 
-GROUP = 100_000
+GROUP = 25_000
 
 
 class Pool:
@@ -105,8 +105,9 @@ def pack(df: DataFrame, containers: DataFrame, key: str = "doc_id", text: str =
     source = spread(df.select(F.col(key).alias("item"), F.col(text).alias("text")), "item")
     kind = dict(source.dtypes)["item"]
     out = None
+    groups = max(1, -(-df.count() // GROUP))
     for name in sorted({k[2] for k in kinds}):
-        packed = _packed(_sizes(source, kind, name, folder), kind, [k[:2] for k in kinds if k[2] == name], spark)
+        packed = _packed(_sizes(source, kind, name, folder), kind, [k[:2] for k in kinds if k[2] == name], groups)
         out = packed if out is None else out.unionByName(packed)
     if out is None:
         return spark.createDataFrame([], f"container_kind string, container bigint, `{key}` {kind}, piece int, n_tokens int")
@@ -126,9 +127,8 @@ def _sizes(source: DataFrame, kind: str, name: str, folder: str) -> DataFrame:
     return source.mapInArrow(run, f"item {kind}, n bigint")
 
 
-def _packed(sizes: DataFrame, kind: str, kinds: list[tuple[str, int]], spark) -> DataFrame:
-    # few scan partitions hold few items each: coarser groups leave fewer containers that aren't full
-    sizes = sizes.coalesce(max(1, spark.sparkContext.defaultParallelism))
+def _packed(sizes: DataFrame, kind: str, kinds: list[tuple[str, int]], groups: int) -> DataFrame:
+    sizes = sizes.repartition(groups, "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -145,7 +145,7 @@ def _packed(sizes: DataFrame, kind: str, kinds: list[tuple[str, int]], spark) ->
         for batch in batches:
             items.append(batch.column(0))
             n.append(batch.column(1).to_numpy())
-            if sum(map(len, n)) >= GROUP:
+            if sum(map(len, n)) >= 2 * GROUP:
                 yield from out()
                 items, n, group = [], [], group + 1
         if items and sum(map(len, n)):
