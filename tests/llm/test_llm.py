@@ -197,11 +197,14 @@ def html(title, content, site="s.example"):
     )
 
 
-SENTENCES = [f"<p>The {a} house {v} the river. Every {b} visitor sees it.</p>" for a, v, b in zip("old new red big dry wet".split(), "meets sees likes keeps holds finds".split(), "first last next young late early".split())]
+def paragraph(k):
+    rng = random.Random(k)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(4, 8)))
+    return "<p>" + " ".join(f"The {word()} {word()} {word()} the {word()} near every {word()}." for _ in range(3)) + "</p>"
 
 
 def crawl_rows():
-    rows = [(k, f"http://s.example/{k}", "s.example", html(f"Page number {k} of all", [SENTENCES[k % 6], SENTENCES[(k + 1) % 6]])) for k in range(14)]
+    rows = [(k, f"http://s.example/{k}", "s.example", html(f"Page number {k} of all", [paragraph(2 * k), paragraph(2 * k + 1)])) for k in range(14)]
     stuffed = " ".join(["cheap lamp", "buy lamp", "lamp price"] * 20)
     rows.append((50, "http://s.example/50", "s.example", html("Lamp offers for all", [f"<p>{stuffed}</p>"])))
     rows.append((51, "http://s.example/51", "s.example", html("Links of the day", [f'<a href="http://x{k}.example/">phrase {k}</a>' for k in range(20)])))
