@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.wrapper import Line, Wrapper, page_title, parse
+from tessera.llm.wrapper import Line, Wrapper, page_title, parse, text_hash
 from tessera.tables import spread, table
 
 #: Rows of a host that one task streams through; a host with more is salted.
@@ -89,6 +89,15 @@ def _from_markup(body: str, lines: list[Line], frame: Frame) -> list[int]:
 PLAIN_AD = re.compile(r"(?:[^\W\d]+ ){1,5}(?:№ \d+|\(\d+\)|-\d+%|\d+[.,]\d\d)\Z")
 
 
+MENU_PART = re.compile(r"\s*[|·•]\s*|\s{2,}")
+
+
+def _menu(line: Line, frame: Frame) -> bool:
+    """Whether a line is a row of menu entries that the host's other pages have one by one."""
+    parts = [p for p in MENU_PART.split(line.raw) if p] if line.token == "T" else []
+    return len(parts) > 1 and sum(text_hash(p) in frame[0] for p in parts) * 2 > len(parts)
+
+
 def _from_text(lines: list[Line], frame: Frame) -> list[int]:
     kept: list[int] = []
     last_menu = -1
@@ -98,7 +107,7 @@ def _from_text(lines: list[Line], frame: Frame) -> list[int]:
         if not text:
             side = False
             continue
-        known = line.hash in frame[0]
+        known = line.hash in frame[0] or _menu(line, frame)
         if text[0] == "©" or "©" in text[:4]:
             break
         if text.endswith(":") and (known or len(text) < 40) and k + 1 < len(lines) and lines[k + 1].token == "T...":
