@@ -26,21 +26,39 @@ def tokens(col, pattern: str = WORD, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(col) if lower else col, F.lit(f"({pattern})"), F.lit(1))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: an expression that a lambda refers to is computed anew in each of its steps otherwise."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bigrams(words: Column) -> Column:
     """Neighbouring pairs joined by a blank."""
-    return F.when(F.size(words) > 1, F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.element_at(words, i + 1), w))).otherwise(F.when(words.isNotNull(), F.array().cast("array<string>")))
+
+    def pairs(w: Column) -> Column:
+        rest = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
+        return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), rest, lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.when(w.isNotNull(), F.array().cast("array<string>")))
+
+    return let(words, pairs)
 
 
 def windows(words: Column, width: int, include_last: bool = True, separator: str = " ") -> Column:
     """All runs of ``width`` words; ``include_last=False`` drops the last run, as the shingle definition does."""
-    n = F.size(words) - width + (1 if include_last else 0)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i + 1, width), separator))).otherwise(F.when(words.isNotNull(), F.array().cast("array<string>")))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w) - width + (1 if include_last else 0)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i + 1, width), separator))).otherwise(F.when(w.isNotNull(), F.array().cast("array<string>")))
+
+    return let(words, runs)
 
 
 def chunks(words: Column, width: int = 7) -> Column:
     """Successive groups of ``width`` words; the last one may be shorter."""
-    n = F.ceil(F.size(words) / width).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * width + 1, width), " "))).otherwise(F.when(words.isNotNull(), F.array().cast("array<string>")))
+
+    def groups(w: Column) -> Column:
+        n = F.ceil(F.size(w) / width).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * width + 1, width), " "))).otherwise(F.when(w.isNotNull(), F.array().cast("array<string>")))
+
+    return let(words, groups)
 
 
 #: The keys of the two keyboard layouts in the same places.
@@ -168,6 +186,135 @@ STOP_WORDS = {
 }
 
 
+def guess_language(words: Column, fallback: str = "ru") -> Column:
+    """Language whose stop words make up the most tokens; ``fallback`` where none occurs. Ties go to the first listed."""
+
+    def best(w: Column) -> Column:
+        scores = [F.size(F.filter(w, lambda x: x.isin(stop.split()))) for stop in STOP_WORDS.values()]
+        top = F.greatest(*scores)
+        out = F.when(w.isNull() | (top == 0), F.lit(fallback))
+        for lang, score in zip(STOP_WORDS, scores):
+            out = out.when(score == top, F.lit(lang))
+        return out
+
+    return let(words, best)
+
+
+_STEPS = (
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?is)<script\b.*?</script>", " "),
+    (r"(?is)<style\b.*?</style>", " "),
+    (r"(?is)<head\b.*?</head>", " "),
+    (r"(?is)<title\b.*?</title>", " "),
+    (r"(?s)<[^<>]*>", " "),
+    (r"&nbsp;", " "),
+    (r"&lt;", "<"),
+    (r"&gt;", ">"),
+    (r"&quot;", '"'),
+    (r"&amp;", "&"),
+    (r"[ \t\r\n]+", " "),
+)
+
+
+def visible_text(col, keep_head: bool = False) -> Column:
+    """Visible text of a page: comments, script, style and (by default) head and title go, tags become blanks."""
+    out = F.col(col) if isinstance(col, str) else col
+    for pattern, by in HTML_STEPS:
+        if not (keep_head and ("head" in pattern or "title" in pattern)):
+            out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
+
+
+def visible_text_sql(col: str) -> str:
+    out = col
+    for pattern, by in HTML_STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return f"trim({out})"
+
+
+class _Streaming(html.parser.HTMLParser):
+    """Text with line breaks: p gives a blank line, br a break, a closed br a blank line; script and style text stays."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+
+    def handle_data(self, data):
+        data = re.sub(r"[ \t\r\n]+", " ", data.strip())
+        if data:
+            self.out.append(data + " ")
+
+    def handle_starttag(self, tag, attrs):
+        self.out.append({"p": "\n\n", "br": "\n"}.get(tag, ""))
+
+    def handle_startendtag(self, tag, attrs):
+        if tag == "br":
+            self.out.append("\n\n")
+
+
+@F.pandas_udf(T.StringType())
+def streamed_text(pages: pd.Series) -> pd.Series:
+    """Text of HTML by a streaming parser; unclosed mark-up is taken as it is."""
+
+    def one(page):
+        if page is None:
+            return None
+        parser = _Streaming()
+        parser.feed(page)
+        parser.close()
+        return "".join(parser.out).strip()
+
+    return pages.map(one)
+
+
+@F.pandas_udf(T.DoubleType())
+def zip_ratio(texts: pd.Series) -> pd.Series:
+    """Length of the text in UTF-8 over its zlib length at level 9; null for null, 0 for empty."""
+    return texts.map(lambda t: None if t is None else round(len(b) / len(zlib.compress(b, 9)), 6) if (b := t.encode("utf-8", "replace")) else 0.0)
+
+
+@F.pandas_udf(T.IntegerType())
+def murmur3(words: pd.Series) -> pd.Series:
+    """MurmurHash3 x86 32-bit, seed 0, signed, of the UTF-8 bytes."""
+    return words.map(lambda w: None if w is None else murmur3_32(w.encode("utf-8")))
+
+
+def murmur3_32(data: bytes, seed: int = 0) -> int:
+    mask, h = 0xFFFFFFFF, seed
+
+    def scramble(k: int) -> int:
+        k = k * 0xCC9E2D51 & mask
+        return (k << 15 | k >> 17) * 0x1B873593 & mask
+
+    whole = len(data) // 4 * 4
+    for at in range(0, whole, 4):
+        h ^= scramble(int.from_bytes(data[at : at + 4], "little"))
+        h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & mask
+    if whole < len(data):
+        h ^= scramble(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def md5_hash(col: Column) -> Column:
+    """Unsigned 32-bit hash that SQL engines can reproduce: the first eight hex digits of md5."""
+    return F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("bigint")
+
+
+#: Frequent words by language, for the fallback language guess.
+STOP_WORDS = {
+    "en": "the a of and to in is that it for with as on every this",
+    "ru": "и в не на что с по а но как из у за от для до без около",
+    "uk": "і й та не на що з по а але як із у за від для до без навколо",
+    "de": "der die das und in den von zu mit dem ein eine ist nicht hinter",
+    "fr": "le la les et de des un une du dans pour avec sur est sous",
+    "es": "el la los y de que un una en con por para del sin sobre",
+}
+
+
 def guess_language(words: Column, fallback: str = "ru") -> Column:
     """Language whose stop words make up the most tokens; ``fallback`` where none occurs. Ties go to the first listed."""
     count = lambda stop: F.size(F.filter(words, lambda w: w.isin(stop.split())))

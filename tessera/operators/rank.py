@@ -70,8 +70,13 @@ def min_distance(words: Column, query: Column) -> Column:
     over the positions is enough.
     """
     hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: F.array_contains(query, x["w"]))
-    gaps = F.transform(F.slice(hits, 2, F.greatest(F.size(hits) - 1, F.lit(0))), lambda x, i: F.when(x["w"] != F.element_at(hits, i + 1)["w"], x["at"] - F.element_at(hits, i + 1)["at"]))
-    return F.coalesce(F.when(F.size(hits) > 1, F.array_min(gaps)), F.lit(NOWHERE)).cast("bigint")
+
+    def closest(found: Column) -> Column:
+        left = F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))
+        right = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
+        return F.when(F.size(found) > 1, F.array_min(F.zip_with(left, right, lambda a, b: F.when(a["w"] != b["w"], b["at"] - a["at"]))))
+
+    return F.coalesce(text.let(hits, closest), F.lit(NOWHERE)).cast("bigint")
 
 
 def share_present(words: Column, query: Column) -> Column:

@@ -396,13 +396,13 @@ _BEST = f"""with d as (select p_size, p_partkey, p_name, cast(p_retailprice as d
     g as (select feature, v, nl * (n - nl) / (n * n) * pow(sl / nl - (sn - sl) / (n - nl), 2) gain from cum where nl >= 1 and n - nl > 1)"""
 
 
-@query("best_split", f"{_BEST} select feature, v as value, round(gain, 4) gain from g order by round(gain, 9) desc, feature, v limit 1")
+@query("best_split", f"{_BEST} select feature, v as value, round(round(gain, 9), 4) gain from g order by round(gain, 9) desc, feature, v limit 1")
 def best_split(spark, d):
     gains = boost.split_gains(_design(spark, d).withColumn("g", F.lit(0)), ["g"])
     return boost.best_splits(gains, ["g"]).select("feature", "value", F.round("gain", 4).alias("gain"))
 
 
-@query("split_curve", f"{_BEST} select feature, v as value, round(gain, 3) gain from g")
+@query("split_curve", f"{_BEST} select feature, v as value, round(round(gain, 9), 3) gain from g")
 def split_curve(spark, d):
     """Gain of every split of every feature."""
     return boost.split_gains(_design(spark, d).withColumn("g", F.lit(0)), ["g"]).select("feature", "value", F.round("gain", 3).alias("gain"))
