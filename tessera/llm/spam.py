@@ -121,14 +121,15 @@ def features(lines: list[Line], content: list[int]) -> dict[str, float]:
     }
 
 
-def clause_structure(lines: list[Line], content: list[int]) -> tuple[int, int, int]:
-    """(sentences, sentences if a line's end ends one, words) of the content without its headline.
+def clause_structure(lines: list[Line], content: list[int]) -> tuple[int, int]:
+    """(sentences, words) of the content without its headline; a line's end alone ends no sentence, a capital has to follow."""
+    whole = " ".join([lines[k].text for k in content[1:]])
+    return len(SENTENCE_END.findall(whole)), whole.count(" ") + 1
 
-    Keywords with full stops look like the second kind only: no capital follows.
-    """
-    texts = [lines[k].text for k in content[1:]]
-    whole = " ".join(texts)
-    return len(SENTENCE_END.findall(whole)), len(SENTENCE_END.findall("\n".join(texts))), whole.count(" ") + 1
+
+def ended_lines(lines: list[Line], content: list[int]) -> int:
+    """Sentences if a line's end ends one whatever follows: short sentences, or keywords with full stops."""
+    return len(SENTENCE_END.findall("\n".join([lines[k].text for k in content[1:]])))
 
 
 def junk_text(lines: list[Line], content: list[int]) -> str:
@@ -146,11 +147,12 @@ def is_spam(lines: list[Line], content: list[int]) -> bool:
     """Whether the page's own content is repeated keywords, lists of links or product tags."""
     if len(content) < 2:
         return False
-    sentences, by_line, words = clause_structure(lines, content)
+    sentences, words = clause_structure(lines, content)
     if words < 12 or sentences > 2 and sentences * 25 > words:
         return False
     f = features(lines, content)
-    if by_line > 2 and by_line * 25 > words:  # short sentences, or keywords with full stops
+    by_line = ended_lines(lines, content)
+    if by_line > 2 and by_line * 25 > words:
         return f["distinct"] < 0.3 and repeated_coverage(junk_text(lines, content)) >= 0.6
     if f["lines"] >= 4 and f["external"] >= 0.5 or f["links"] >= 0.1:
         return True
