@@ -202,12 +202,74 @@ _INSIDE = re.compile(r"(?<=[a-z])[^\x00-\x7f]|[─-╿░-▓Ё-я](?=[A-Z]?[a-z
 _TOUCHING = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]")
 #: A reading must be this much likelier per character, and as likely as real text; short lines follow the page's other lines.
 MARGIN, SWAPPED_MARGIN, REAL, SHORT = 1.0, 0.1, -4.4, 12
-#: Characters of a line that decide between its readings; the reading is then applied to the whole line.
+#: A longer line is judged in windows of this many characters, a new one at each half of it.
 SAMPLE = 160
+_WORD = re.compile(r"\S*\s*")
+
+
+def _windows(line: str) -> list[str]:
+    """Overlapping windows that cover the whole line; the line itself if it is short."""
+    if len(line) <= SAMPLE:
+        return [line]
+    starts = range(0, len(line) - SAMPLE // 2, SAMPLE // 2)
+    return [line[a : a + SAMPLE] for a in starts]
+
+
+def _judge(window: str, here: float) -> tuple[dict, bool]:
+    """(likelihood of each reading, whether the best of them is clearly likelier than the text as it is)."""
+    swapped, scores = bool(_SWAPPED.search(window)), {}
+    if here > -3.7 and not swapped:
+        return scores, False
+    for wrong in SINGLE_BYTE:
+        for really in ("cp1251", "koi8_u", "cp866"):
+            if wrong != really:
+                scores[wrong, really] = likelihood(window.translate(_table(wrong, really)))[0]
+    best = max(scores.values())
+    return scores, best > here + (SWAPPED_MARGIN if swapped else MARGIN) and best > REAL
+
+
+#: What a change between readings within a line costs, so that single words don't change sides by chance.
+SWITCH = 8.0
+
+
+def _sound(run: str) -> bool:
+    """Whether a translated run is text; what is still damaged then was no single-byte damage."""
+    signs = [c for c in run if c > "\x7f"]
+    return likelihood(run)[0] > REAL and sum(c not in SAFE for c in signs) * 10 <= len(signs) and not decode_spans(run)[1]
+
+
+def _mend(line: str, pairs: list[tuple[str, str]]) -> str:
+    """A long line with its damaged runs of words translated: the likeliest sequence of readings, sound text being one of them."""
+    tables = [{}] + [_table(*p) for p in pairs]
+    best, paths = [0.0] * len(tables), []
+    words = _WORD.findall(line)
+    for word in words:
+        judged = [likelihood(word.translate(t) if t else word) for t in tables]
+        most = max(n for _, n in judged)
+        top = max(range(len(best)), key=best.__getitem__)
+        come = [k if best[k] >= best[top] - SWITCH else top for k in range(len(best))]
+        best = [best[c] - (SWITCH if c != k else 0.0) + mean * n + (most - n) * REAL for k, (c, (mean, n)) in enumerate(zip(come, judged))]
+        paths.append(come)
+    at, runs = max(range(len(best)), key=best.__getitem__), []
+    for word, come in zip(reversed(words), reversed(paths)):
+        if not runs or runs[-1][0] != at:
+            runs.append((at, []))
+        runs[-1][1].append(word)
+        at = come[at]
+    out = []
+    for state, run in reversed(runs):
+        old = "".join(reversed(run))
+        changed = [new for word in reversed(run) if (new := word.translate(tables[state])) != word]
+        out.append(old.translate(tables[state]) if changed and _sound("".join(changed)) else old)
+    return "".join(out)
 
 
 def read_back(lines: list[str]) -> bool:
-    """Replace single-byte damage in ``lines`` in place; whether there was any."""
+    """Replace single-byte damage in ``lines`` in place; whether there was any.
+
+    A line of at most ``SAMPLE`` characters has one reading. A longer one is judged window by window over its whole
+    length, and only its damaged runs are translated.
+    """
     found, maybe, votes = {}, {}, {}
     hit = False
     for k, line in enumerate(lines):
@@ -217,34 +279,37 @@ def read_back(lines: list[str]) -> bool:
         if fixed is not None:
             lines[k], hit = fixed, True
             continue
-        here, n = likelihood(line[:SAMPLE])
-        if n < 3 or len(_TOUCHING.findall(line)) * 4 > n:
-            continue
-        swapped = bool(_SWAPPED.search(line))
-        if here > -3.7 and not swapped:
-            maybe[k] = here
-            continue
-        sample, scores = line[:SAMPLE], {}
-        for wrong in SINGLE_BYTE:
-            for really in ("cp1251", "koi8_u", "cp866"):
-                if wrong != really:
-                    scores[wrong, really] = likelihood(sample.translate(_table(wrong, really)))[0]
-        pair = max(scores, key=scores.__getitem__)
-        if scores[pair] > here + (SWAPPED_MARGIN if swapped else MARGIN) and scores[pair] > REAL:
-            found[k] = (n, scores, here)
-            votes[pair] = votes.get(pair, 0) + n
-        else:
-            maybe[k] = here
+        judged = False
+        for window in _windows(line):
+            here, n = likelihood(window)
+            if n < 3 or len(_TOUCHING.findall(window)) * 4 > n:
+                continue
+            judged = True
+            scores, clear = _judge(window, here)
+            if clear:
+                pair = max(scores, key=scores.__getitem__)
+                found.setdefault(k, []).append((n, scores, here))
+                votes[pair] = votes.get(pair, 0) + n
+        if judged and k not in found:
+            maybe[k] = likelihood(line)[0]
     if found:
         usual = max(votes, key=votes.__getitem__)
-        for k, (n, scores, here) in found.items():
-            pair = max(scores, key=scores.__getitem__)
-            if n < SHORT and scores[usual] > here:
-                pair = usual
-            lines[k] = lines[k].translate(_table(*pair))
-            hit = True
+        for k, windows in found.items():
+            pairs = []
+            for n, scores, here in windows:
+                pair = max(scores, key=scores.__getitem__)
+                if n < SHORT and scores[usual] > here:
+                    pair = usual
+                if pair not in pairs:
+                    pairs.append(pair)
+            new = lines[k].translate(_table(*pairs[0])) if len(lines[k]) <= SAMPLE else _mend(lines[k], pairs)
+            hit |= new != lines[k]
+            lines[k] = new
         if len(found) >= len(maybe):  # the whole page: lines too short to tell follow the others
             for k, here in maybe.items():
+                if len(lines[k]) > SAMPLE:
+                    lines[k] = _mend(lines[k], [usual])
+                    continue
                 new = lines[k].translate(_table(*usual))
                 if likelihood(new)[0] > here:
                     lines[k] = new

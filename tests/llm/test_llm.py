@@ -272,6 +272,15 @@ def test_single_byte_damage(wrong, right):
     assert mojibake.restore(broken) == (RUSSIAN, True)
 
 
+@pytest.mark.parametrize("wrong, right", [("cp1252", "cp1251"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251")])
+def test_single_byte_damage_anywhere_in_a_long_line(wrong, right):
+    sound = f"{RUSSIAN} " * 5
+    broken = sound.encode(right).decode(wrong)
+    for before, after in ((sound, ""), ("", sound), (sound, sound), ("<p class=x>" * 30, ""), ("Plain words. " * 20, "")):
+        assert mojibake.restore(before + broken + after) == (before + sound + after, True)
+    assert mojibake.restore(sound * 3) == (sound * 3, False)
+
+
 def test_double_damage_and_losses():
     once = RUSSIAN.encode().decode("latin-1")
     twice = once.encode().decode("latin-1")
