@@ -65,14 +65,20 @@ def search_many(queries: DataFrame, terms: DataFrame, universe: DataFrame, count
 
     Result: ``query_id, key``, or with ``counts_only`` ``query_id, n_results``. Query terms join the
     postings; each (query, document) gets the set of its matching terms, and the query's truth table
-    says whether the set satisfies it. Queries that hold for the empty set select documents that match
+    says whether the set satisfies it; a query with too many terms for a table is evaluated on the set
+    itself. Queries that hold for the empty set select documents that match
     no term, too: they are counted by complement and listed by an anti join against the universe. A
     query that can't be parsed, or is null, has no result. Unknown terms are empty sets.
     """
-    parsed = queries.select("query_id", boolean.truth("query").alias("t")).select("query_id", "t.terms", "t.truth", "t.on_empty").filter("terms is not null")
-    wanted = parsed.select("query_id", F.posexplode("terms").alias("bit", "term"))
+    parsed = queries.select("query_id", "query", boolean.truth("query").alias("t")).select("query_id", "query", "t.terms", "t.truth", "t.on_empty").filter("terms is not null")
+    tabled = parsed.filter("truth is not null")
+    wanted = tabled.select("query_id", F.posexplode("terms").alias("bit", "term"))
     hits = wanted.join(terms, "term").groupBy("query_id", "key").agg(F.sum(F.pow(F.lit(2), F.col("bit")).cast("bigint")).alias("mask"))
-    judged = hits.join(parsed.select("query_id", "truth", "on_empty"), "query_id").select("query_id", "key", "on_empty", F.expr("substring(truth, cast(mask as int) + 1, 1) = '1'").alias("holds"))
+    judged = hits.join(tabled.select("query_id", "truth", "on_empty"), "query_id").select("query_id", "key", "on_empty", F.expr("substring(truth, cast(mask as int) + 1, 1) = '1'").alias("holds"))
+    large = parsed.filter("truth is null")
+    if not large.isEmpty():
+        present = large.select("query_id", F.explode("terms").alias("term")).join(terms, "term").groupBy("query_id", "key").agg(F.collect_set("term").alias("present"))
+        judged = judged.unionByName(present.join(large, "query_id").select("query_id", "key", "on_empty", boolean.judged("query", "present").alias("holds")))
     if counts_only:
         total = universe.count()
         touched = judged.groupBy("query_id").agg(F.sum(F.col("holds").cast("bigint")).alias("yes"), F.count("*").alias("touched"))

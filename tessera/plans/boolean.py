@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEXEME = re.compile(r"\w+|[()&|!]")
-#: A query of more different terms gets no truth table.
+#: A query of more different terms gets no truth table; it is evaluated on each set of matching terms.
 MAX_TERMS = 14
 
 
@@ -75,18 +75,43 @@ def parse(text: str):
 
 
 def terms_of(tree) -> list[str]:
-    if tree[0] == "term":
-        return [tree[1]]
-    return list(dict.fromkeys(t for part in tree[1:] for t in terms_of(part)))
+    found, todo = {}, [tree]
+    while todo:
+        node = todo.pop()
+        if node[0] == "term":
+            found[node[1]] = None
+        else:
+            todo.extend(reversed(node[1:]))
+    return list(found)
+
+
+def postfix(tree) -> list[tuple[str, str | None]]:
+    """The tree's nodes, each after its parts; chains of any length need no recursion."""
+    out, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        out.append((node[0], node[1] if node[0] == "term" else None))
+        if node[0] != "term":
+            todo.extend(node[1:])
+    return out[::-1]
 
 
 def holds(tree, present) -> bool:
-    kind = tree[0]
-    if kind == "term":
-        return tree[1] in present
-    if kind == "not":
-        return not holds(tree[1], present)
-    return (all if kind == "and" else any)(holds(t, present) for t in tree[1:])
+    return satisfied(postfix(tree), present)
+
+
+def satisfied(steps: list[tuple[str, str | None]], present) -> bool:
+    """Whether the set of terms satisfies a query given by ``postfix``."""
+    stack: list[bool] = []
+    for kind, term in steps:
+        if kind == "term":
+            stack.append(term in present)
+        elif kind == "not":
+            stack.append(not stack.pop())
+        else:
+            a, b = stack.pop(), stack.pop()
+            stack.append(a and b if kind == "and" else a or b)
+    return stack.pop()
 
 
 def push_not(tree, negate: bool = False):
@@ -136,17 +161,22 @@ _TRUTH = T.StructType([T.StructField("terms", T.ArrayType(T.StringType())), T.St
 
 
 def truth_table(text: str | None):
-    """(terms, a 0 or 1 for each set of terms, whether the empty set satisfies); the k-th term is bit k."""
-    if text is None or len(set(lex(text)) - set("()&|!")) > MAX_TERMS:
+    """(terms, a 0 or 1 for each set of terms, whether the empty set satisfies); the k-th term is bit k.
+
+    With more than ``MAX_TERMS`` terms the table is None: ``judged`` evaluates such queries. All are None if the text is no query.
+    """
+    if text is None:
         return None, None, None
     try:
         tree = parse(text)
     except QueryError:
         return None, None, None
-    words = terms_of(tree)
+    words, steps = terms_of(tree), postfix(tree)
+    if len(words) > MAX_TERMS:
+        return words, None, satisfied(steps, set())
     table = ["0"] * (1 << len(words))
     for bits in product((0, 1), repeat=len(words)):
-        if holds(tree, {w for w, b in zip(words, bits) if b}):
+        if satisfied(steps, {w for w, b in zip(words, bits) if b}):
             table[sum(b << k for k, b in enumerate(bits))] = "1"
     return words, "".join(table), table[0] == "1"
 
@@ -154,3 +184,10 @@ def truth_table(text: str | None):
 @F.pandas_udf(_TRUTH)
 def truth(queries: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([truth_table(q) for q in queries], columns=["terms", "truth", "on_empty"])
+
+
+@F.pandas_udf(T.BooleanType())
+def judged(queries: pd.Series, present: pd.Series) -> pd.Series:
+    """Whether each set of terms satisfies its query."""
+    steps = {q: postfix(parse(q)) for q in queries.unique()}
+    return pd.Series([satisfied(steps[q], set(found)) for q, found in zip(queries, present)], dtype=bool)

@@ -46,6 +46,24 @@ def test_many_queries_at_once(spark, docs):
     assert not {90, 91, 92} & set(counts)
 
 
+def test_queries_of_many_terms(spark, docs):
+    terms, universe = index.doc_terms(docs), docs.select(F.col("doc_id").alias("key"))
+    none = " | ".join(f"zz{k}" for k in range(14))
+    long = " | ".join(f"zz{k}" for k in range(2000))
+    asked = [f"w1 | {none}", f"(w1 & !w2) | {none}", f"!(w1 | {none})", f"w1 & !({long})", f"{long} | w2 & w3", "w1 | w2"]
+    queries = spark.createDataFrame([*enumerate(asked), (90, f"({none} | w1 | w2")], "query_id bigint, query string")
+    found = {}
+    for r in index.search_many(queries, terms, universe).collect():
+        found.setdefault(r.query_id, []).append(r.key)
+    counts = {r.query_id: r.n_results for r in index.search_many(queries, terms, universe, counts_only=True).collect()}
+    texts = {r.doc_id: set((r.text or "").split()) for r in docs.collect()}
+    tests = [lambda w: "w1" in w, lambda w: "w1" in w and "w2" not in w, lambda w: "w1" not in w, lambda w: "w1" in w, lambda w: {"w2", "w3"} <= w, lambda w: bool({"w1", "w2"} & w)]
+    for k, test in enumerate(tests):
+        want = sorted(key for key, w in texts.items() if test(w))
+        assert want and sorted(found.get(k, [])) == want and counts[k] == len(want), asked[k][:30]
+    assert set(counts) == set(range(len(asked)))
+
+
 @pytest.mark.parametrize("bad", ["(a", "a)", "a &", "| b", "!", ""])
 def test_queries_that_are_none(bad):
     with pytest.raises(boolean.QueryError):
