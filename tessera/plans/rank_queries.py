@@ -187,9 +187,14 @@ def rank_diff(spark, d):
     return rank.rank_difference(rank.top_k(_first_rank(spark, d)), rank.top_k(_linear(spark, d)))
 
 
-def _synonyms(spark, d):
-    model, terms = _word_vectors(spark, d)
-    return rank.nearest(terms, terms.filter("vec_id % 100 = 0"), 4).join(terms.select("vec_id", F.col("term").alias("synonym")), "vec_id").join(terms.select(F.col("vec_id").alias("query_vec"), "term"), "query_vec").select("term", "synonym", F.col("cosine").alias("sim"))
+def _synonyms(spark, d, asked=None):
+    """Four nearest words of every hundredth word, or of all words of the queries ``asked``."""
+    _, terms = _word_vectors(spark, d)
+    if asked is None:
+        chosen = terms.filter("vec_id % 100 = 0")
+    else:
+        chosen = terms.join(asked.select(F.explode(text.tokens("query")).alias("term")).distinct(), "term", "left_semi")
+    return rank.nearest(terms, chosen, 4).join(terms.select("vec_id", F.col("term").alias("synonym")), "vec_id").join(terms.select(F.col("vec_id").alias("query_vec"), "term"), "query_vec").select("term", "synonym", F.col("cosine").alias("sim"))
 
 
 def _word_vectors(spark, d, size: int = 32):
@@ -208,7 +213,8 @@ def word_synonyms(spark, d):
 @query("query_variants")
 def query_variants(spark, d):
     """Queries rewritten with synonyms."""
-    return rank.query_variants(table(spark, d, "queries"), _synonyms(spark, d), threshold=0.5)
+    asked = table(spark, d, "queries")
+    return rank.query_variants(asked, _synonyms(spark, d, asked), threshold=0.5)
 
 
 @query("variant_merge")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import abtest, boost, crawl, index, metrics, network, prefix, rank, shingles
-from tessera.plans import boolean
+from tessera.plans import boolean, rank_queries
 from tessera.sources import files, records
 
 
@@ -313,3 +313,17 @@ def test_entry_imports_and_names_match():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_query_word_can_be_replaced(spark, tmp_path):
+    rng = random.Random(3)
+    groups = [[f"{g}{k}" for k in "abcd"] for g in ("river", "house", "light", "stone", "music")]
+    texts = [" ".join(rng.choice(rng.choice(groups)) if k % 9 == 0 else rng.choice(groups[n % 5]) for k in range(30)) for n in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [w for g in groups for w in g]
+    spark.createDataFrame(list(enumerate(words)), "query_id bigint, query string").write.parquet(f"{tmp_path}/queries.parquet")
+    asked = spark.read.parquet(f"{tmp_path}/queries.parquet")
+    assert {r.term for r in rank_queries._synonyms(spark, str(tmp_path), asked).collect()} == set(words)
+    assert len({r.term for r in rank_queries._synonyms(spark, str(tmp_path)).collect()}) < len(words)
+    variants = rank_queries.query_variants(spark, str(tmp_path)).filter("replaced > 0")
+    assert {r.query_id for r in variants.collect()} == set(range(len(words)))
