@@ -6,7 +6,8 @@
 2. Rows with the same shingle set form a class; only the class's smallest row goes on. A group of
    copies, however large, is one row from here on.
 3. Rows that agree in a band are candidates. With 70 bands of 4 rows a pair at the threshold of 0.6
-   is missed with probability 6e-5, one at 0.7 with 5e-9.
+   is missed with probability 6e-5, one at 0.7 with 5e-9. A band or class that many rows share is cut
+   into a grid of cells, so that its pairs are spread over many tasks.
 4. Candidates are verified by their signatures' sketches (estimate within five standard errors of
    the threshold), the survivors exactly on the shingle sets.
 5. Groups are the connected components of the verified links, by alternating large-star and
@@ -32,6 +33,8 @@ BANDS, ROWS = 70, 4
 WIDTH, MIN_TERMS, THRESHOLD = 3, 20, 0.6
 #: 280 minima estimate a similarity of 0.6 with a standard error of 0.029; 1/256 of the bytes agree by chance.
 SKETCH_MARGIN = 0.15
+#: A key on more rows than ``HOT_ROWS`` and than one of ``HOT_SHARE`` of all is split over a grid of tasks.
+HOT_ROWS, HOT_SHARE = 2_000, 50_000
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -137,13 +140,7 @@ class NearDuplicates:
         """``a bigint, b bigint, jaccard double``: pairs a < b of class representatives that meet the threshold."""
         reps = self.members.filter("rec_id = rep").select("rec_id")
         bands = self.signed.select("rec_id", "bands").join(reps, "rec_id", "left_semi").select("rec_id", F.explode("bands").alias("key"))
-        candidates = (
-            bands.select(F.col("rec_id").alias("a"), "key")
-            .join(bands.select(F.col("rec_id").alias("b"), "key"), "key")
-            .filter("a < b")
-            .select("a", "b")
-            .distinct()
-        )
+        candidates = grid_pairs(bands, "key", "rec_id").distinct()
         side = lambda name, *cols: self.signed.select(F.col("rec_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
         likely = (
             candidates.join(side("a", "sketch", "n_sh"), "a")
@@ -166,7 +163,9 @@ class NearDuplicates:
         """``rec_id_1, rec_id_2``: all row pairs (smaller first) with different url that meet the threshold."""
         m = lambda n: self.members.select(F.col("rec_id").alias(f"r{n}"), F.col("url").alias(f"u{n}"), F.col("rep").alias(f"rep{n}"))
         other_url = ~(F.col("u1").eqNullSafe(F.col("u2")) & F.col("u1").isNotNull())
-        within = m(1).join(m(2), F.col("rep1") == F.col("rep2")).filter("r1 < r2").filter(other_url).select("r1", "r2")
+        copies = self.members.select("rep", F.struct("rec_id", "url").alias("row"))
+        unequal = ~(F.col("a.url").eqNullSafe(F.col("b.url")) & F.col("a.url").isNotNull())
+        within = grid_pairs(copies, "rep", "row", F.col("a.rec_id") < F.col("b.rec_id")).filter(unequal).select(F.col("a.rec_id").alias("r1"), F.col("b.rec_id").alias("r2"))
         between = (
             self.links()
             .join(m(1), F.col("a") == F.col("rep1"))
@@ -184,6 +183,25 @@ class NearDuplicates:
         return joined.join(grown, "group_id", "left_semi").select("rec_id", "group_id")
 
 
+def grid_pairs(rows: DataFrame, key: str, value: str, order=None) -> DataFrame:
+    """``a, b``: the pairs a < b of ``value`` (or as ``order`` says) that share ``key``, once for each key they share.
+
+    A key on more than ``HOT_ROWS`` rows and more than one of ``HOT_SHARE`` of all is cut into cells of a grid: its
+    rows are hashed to g groups, and every pair of groups is a cell of its own, so no task sees more than two groups.
+    Of such keys there are fewer than ``HOT_SHARE``; their list, which is broadcast, is bounded by that.
+    """
+    rows = rows.select(F.col(key).alias("key"), F.col(value).alias("a"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS)
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    hot = sizes.filter(F.col("n") * HOT_SHARE > total).select("key", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("g"))
+    placed = rows.join(F.broadcast(hot), "key", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("a"), F.col("g")).cast("int"))
+    # cell (low, high) holds the pairs between these two groups
+    left = placed.select("key", "a", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")).select("key", "a", "i", F.least("i", "o").alias("low"), F.greatest("i", "o").alias("high"))
+    right = left.select("key", "low", "high", F.col("a").alias("b"), F.col("i").alias("j"))
+    across = (F.col("i") != F.col("j")) | (F.col("low") == F.col("high"))
+    return left.join(right, ["key", "low", "high"]).filter(order if order is not None else F.col("a") < F.col("b")).filter(across).select("a", "b")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` of an undirected graph by alternating large-star and small-star.
 
