@@ -135,6 +135,15 @@ def _every_other(where: np.ndarray, after: np.ndarray) -> np.ndarray:
     return where[offset % 2 == 0]
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array itself, or a copy of at least twice its size if it holds less than ``size``."""
+    if size <= len(array):
+        return array
+    out = np.empty(max(size, 2 * len(array)), dtype=array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class CorpusEncoder:
     """Texts to ids, with a table of the pieces this worker has already encoded."""
 
@@ -145,9 +154,21 @@ class CorpusEncoder:
 
     def _clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.ids = np.empty(0, dtype=np.int32)
-        self.start = np.empty(0, dtype=np.int64)
-        self.length = np.empty(0, dtype=np.int64)
+        self.used = 0
+        self.ids = np.empty(1 << 16, dtype=np.int32)
+        self.start = np.empty(1 << 14, dtype=np.int64)
+        self.length = np.empty(1 << 14, dtype=np.int64)
+
+    def _keep(self, fresh: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Append encoded pieces to the table, whose arrays double when they are full."""
+        old, new, end = len(self.code), len(self.code) + len(fresh), self.used + len(ids)
+        self.ids = _room(self.ids, end)
+        self.start, self.length = _room(self.start, new), _room(self.length, new)
+        self.ids[self.used : end] = ids
+        self.start[old:new] = self.used + np.cumsum(lengths) - lengths
+        self.length[old:new] = lengths
+        self.used = end
+        self.code.update(zip(fresh, range(old, new)))
 
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(codes of all pieces, number of pieces of each text)."""
@@ -163,10 +184,7 @@ class CorpusEncoder:
         fresh = [p for p in dict.fromkeys(pieces) if p not in self.code]
         if fresh:
             ids, lengths = self.encoder.encode([p.encode("utf-8", "surrogatepass") for p in fresh])
-            self.code.update(zip(fresh, range(len(self.code), len(self.code) + len(fresh))))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self._keep(fresh, ids, lengths)
         return np.fromiter(map(self.code.__getitem__, pieces), dtype=np.int64, count=len(pieces)), counts
 
     def counts(self, texts: list[str | None]) -> np.ndarray:

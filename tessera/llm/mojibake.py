@@ -67,7 +67,7 @@ def _plausible(text: str) -> bool:
 def decode_spans(line: str) -> tuple[str, bool]:
     """The line with its maximal well-formed spans decoded, by the codec whose spans cover most of it, until none is left."""
     hit = False
-    for _ in range(4):
+    while True:  # each pass makes the line shorter
         present = set(line)
         best, chosen = 0, None
         for codec in WRONG_FOR_UTF8:
@@ -230,6 +230,8 @@ def _judge(window: str, here: float) -> tuple[dict, bool]:
 
 #: What a change between readings within a line costs, so that single words don't change sides by chance.
 SWITCH = 8.0
+#: What a capital within a word costs: a wrong reading often swaps the case.
+CAPITALS = 0.5
 
 
 def _sound(run: str) -> bool:
@@ -244,7 +246,8 @@ def _mend(line: str, pairs: list[tuple[str, str]]) -> str:
     best, paths = [0.0] * len(tables), []
     words = _WORD.findall(line)
     for word in words:
-        judged = [likelihood(word.translate(t) if t else word) for t in tables]
+        read = [word.translate(t) if t else word for t in tables]
+        judged = [(mean - CAPITALS * sum(map(str.isupper, w[1:])) / max(1, n), n) for w, (mean, n) in zip(read, map(likelihood, read))]
         most = max(n for _, n in judged)
         top = max(range(len(best)), key=best.__getitem__)
         come = [k if best[k] >= best[top] - SWITCH else top for k in range(len(best))]

@@ -21,6 +21,8 @@ from tessera.llm.bpe import TOKENIZER_DIR, load_merges, worker_encoder
 from tessera.tables import spread, table
 
 GROUP = 25_000
+#: Tasks of the packing stage at most; a task packs its rows group by group.
+MAX_TASKS = 20_000
 
 
 class Pool:
@@ -128,7 +130,8 @@ def _sizes(source: DataFrame, kind: str, name: str, folder: str) -> DataFrame:
 
 
 def _packed(sizes: DataFrame, kind: str, kinds: list[tuple[str, int]], groups: int) -> DataFrame:
-    sizes = sizes.repartition(groups, "item")
+    # sorted, so that a group's filling doesn't depend on the order in which the shuffle arrives
+    sizes = sizes.repartition(min(groups, MAX_TASKS), "item").sortWithinPartitions("item", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -1,11 +1,12 @@
 """Problem 5: per-document text quality statistics and the rule that tells prose from junk.
 
 A text is cut into chunks of ``CHUNK`` characters. Each chunk yields partial counts: what needs only
-a character of context (words, sentence ends, symbols) is counted where it begins, with the characters
-around the chunk as look-behind and look-ahead, so it simply adds up; what needs a whole line (items,
-tables, share of lines with an end mark) is counted for the lines inside the chunk, while the pieces of
-the lines that cross its ends stay open as head and tail state. ``merge`` is associative and joins
-the tail of one state with the head of the next. States are merged in a tree: by groups of chunks,
+some characters of context (words, sentence ends, separators, symbols) is counted where it begins or ends,
+with ``MARGIN`` characters around the chunk, so it simply adds up; what needs a whole line (items, tables,
+share of lines with an end mark) is counted for the lines inside the chunk, while the pieces of the lines
+that cross its ends stay open as head and tail state. How an open line ends is kept as the transition map
+of a small automaton, so that pieces compose exactly wherever the text is cut. ``merge`` is associative and
+joins the tail of one state with the head of the next. States are merged in a tree: by groups of chunks,
 then by document, each level a hash aggregation whose input is one small row per chunk.
 """
 
@@ -34,40 +35,101 @@ COMMON_WORDS = frozenset(
 
 WORD = re.compile(r"\w+")
 #: A sentence end: a mark after a word that is too long for an abbreviation, a number, a bracket or a non-ASCII sign, before a capital (in swapped case too), a quotation mark or the end of the line.
-SENTENCE_END = re.compile(r"(?:[^\W\d_]{4}|\d|[»”’\"')\]]|[^\x00-\x7f\w])[.!?…]+[»”’\"')\]]*(?=[ \t]*(?:[\r\n]|\Z)|[ \t]+(?:[«“„\"'(¿¡—A-ZÀ-ÞЀ-Я]|[а-яё][А-ЯЁ]{2}|[^\x00-\x7f\w]))")
+SENTENCE_END = re.compile(r"(?:[^\W\d_]{4}|\d|[»”’\"')\]]|[^\x00-\x7f\w])[.!?…]{1,12}[»”’\"')\]]{0,4}(?=[ \t]{0,20}(?:[\r\n]|\Z)|[ \t]{1,20}(?:[«“„\"'(¿¡—A-ZÀ-ÞЀ-Я]|[а-яё][А-ЯЁ]{2}|[^\x00-\x7f\w]))")
 FULL_STOP = re.compile(r"[^\W\d_]{2}[.!?…]+[»”’\"')\]]*\s*\Z")
 END_MARK = re.compile(r"[.!?…:;][»”’\"')\]]*\s*\Z")
 ASCII_SYMBOL = re.compile(r"[!#$%&*+/<=>?@\[\\\]^_`{|}~]")
 #: Signs that correct text in the collection's scripts hardly uses; many of them mean a wrong encoding.
 ODD = re.compile(r"[^\x00-\x7f\w\s«»“”„’‘—–…·•№°©€¡¿]")
-SEPARATOR = re.compile(r"[|;\t#]|,(?=\S)|  +")
+#: Between the cells of a row: signs, a comma without a blank, and a character after two blanks.
+SEPARATOR = re.compile(r"[|;\t#]|,(?=\S)|(?<=  )[^\s|;\t#]")
+INDENTED = re.compile(r"\A {2,}\S")
 
 ADDITIVE = ("n_chars", "n_blank", "n_letters", "n_digits", "n_symbols", "n_words", "word_chars", "n_common", "n_sentences", "n_long_words", "n_odd")
 #: Counts over finished lines.
 LINE = ("n_lines", "lines_ended", "item_lines", "junk_words")
-#: State of an unfinished line: words, characters, separators, digits, clause marks, whether it ends in a mark, whether anything but blanks is in it.
-OPEN = ("words", "chars", "seps", "digits", "marks", "stopped", "ended")
+#: State of an unfinished line: words, visible characters, separators, digits, clause marks, whether its first visible character
+#: follows two blanks, and the transition maps of the automata that say how it ends.
+OPEN = ("words", "chars", "seps", "digits", "marks", "lead", "stop_map", "end_map")
 
 STATE = [(n, "bigint") for n in ADDITIVE + LINE] + [("broken", "boolean")] + [(f"{side}_{n}", "bigint") for side in ("head", "tail") for n in OPEN]
 _NAMES = [n for n, _ in STATE]
 
 
-def _open_line(text: str, marks: int) -> tuple[int, ...]:
-    body = text.strip()
-    return (len(WORD.findall(body)), len(body), len(SEPARATOR.findall(body)), sum(map(str.isdigit, body)), marks, int(bool(FULL_STOP.search(body))), int(bool(END_MARK.search(body))))
+_CLOSERS = frozenset("»”’\"')]")
+#: Kinds of characters for the automata, and the next state for each state and kind. States of ``_STOP``: other, one letter, two or
+#: more, a mark after two letters, closing signs after it, blanks after these; of ``_END``: other, mark, closing signs, blanks.
+_STOP = {"letter": (1, 2, 2, 1, 1, 1), "full": (0, 0, 3, 3, 0, 0), "colon": (0,) * 6, "closer": (0, 0, 0, 4, 4, 0), "blank": (0, 0, 0, 5, 5, 5), "other": (0,) * 6}
+_END = {"letter": (0,) * 4, "full": (1,) * 4, "colon": (1,) * 4, "closer": (0, 2, 2, 0), "blank": (0, 3, 3, 3), "other": (0,) * 4}
+_STOPPED, _ENDED = (3, 4, 5), (1, 2, 3)
+
+
+def _kind(c: str) -> str:
+    if c.isalpha():
+        return "letter"
+    if c.isspace():
+        return "blank"
+    return "full" if c in ".!?…" else "colon" if c in ":;" else "closer" if c in _CLOSERS else "other"
+
+
+def _transitions(piece: str) -> tuple[int, int]:
+    """The maps of a piece of a line, each written as one number (the state reached from state k is its digit k)."""
+    at, letters = len(piece), 0
+    while at and letters < 2:  # from two letters or any other sign on, the states before don't matter
+        at -= 1
+        kind = _kind(piece[at])
+        letters = letters + 1 if kind == "letter" else 0
+        if kind == "other":
+            break
+    stop, end = list(range(6)), list(range(4))
+    for c in piece[at:]:
+        kind = _kind(c)
+        stop, end = [_STOP[kind][k] for k in stop], [_END[kind][k] for k in end]
+    return sum(v * 6**k for k, v in enumerate(stop)), sum(v * 4**k for k, v in enumerate(end))
+
+
+def _compose(a: int, b: int, n: int) -> int:
+    """The map of a piece followed by another."""
+    return sum(b // n ** (a // n**k % n) % n * n**k for k in range(n))
+
+
+def _piece(text: str, before: str, after: str, marks: int) -> tuple[int, ...]:
+    """State of a piece of a line between the characters before and after it in the same line."""
+    whole, at = before + text + after, len(before)
+    end = at + len(text)
+    words = sum(at <= m.start() < end for m in WORD.finditer(whole))
+    seps = sum(at <= m.start() < end for m in SEPARATOR.finditer(whole))
+    first = len(text) - len(text.lstrip())
+    lead = first < len(text) and whole[max(0, at + first - 2) : at + first] == "  " and not SIGN.match(text[first])
+    return (words, len(text) - sum(map(str.isspace, text)), seps, sum(map(str.isdigit, text)), marks, int(lead), *_transitions(text))
 
 
-def _closed(line: tuple[int, ...]) -> tuple[int, int, int, int]:
-    """(lines, lines with an end mark, item lines, junk words) of a finished line."""
-    words, chars, seps, digits, marks, stopped, ended = line
-    if not chars:
+#: Separators that count whether they are indented or not.
+SIGN = re.compile(r"[|;#]")
+
+
+def _line(text: str, marks: int) -> tuple[int, ...]:
+    """(lines, lines with an end mark, item lines, junk words) of a whole line."""
+    body = text.strip()
+    if not body:
         return 0, 0, 0, 0
+    seps = len(SEPARATOR.findall(text)) - bool(INDENTED.match(text) and not SIGN.match(body))
+    return _counted(len(WORD.findall(body)), len(body) - sum(map(str.isspace, body)), seps, sum(map(str.isdigit, body)), marks, bool(FULL_STOP.search(text)), bool(END_MARK.search(text)))
+
+
+def _counted(words: int, chars: int, seps: int, digits: int, marks: int, stopped: bool, ended: bool) -> tuple[int, ...]:
     blob = words >= 25 and marks * 40 < words
-    listed = not marks and (seps >= 2 or digits >= 8) or digits * 2 > chars
+    listed = not marks and (seps >= 2 or digits >= 8) or digits * 2 > chars + words - 1
     item = not marks and words <= 7 and not (stopped and words >= 3)
     return 1, int(ended), int(item), words if blob or listed or item else 0
 
 
+def _closed(line: tuple[int, ...]) -> tuple[int, ...]:
+    """Counts of an open line that is finished; it begins in state 0."""
+    words, chars, seps, digits, marks, lead, stop_map, end_map = line
+    return _counted(words, chars, seps - lead, digits, marks, stop_map % 6 in _STOPPED, end_map % 4 in _ENDED) if chars else (0, 0, 0, 0)
+
+
 def count_chunk(chunk: str, before: str = "", after: str = "") -> dict[str, int | bool]:
     """Partial counts of ``chunk`` between the characters ``before`` and ``after`` it."""
     whole, at, end = before + chunk + after, len(before), len(before) + len(chunk)
@@ -96,19 +158,20 @@ def count_chunk(chunk: str, before: str = "", after: str = "") -> dict[str, int
             line_end += 1 + len(lines[line])
         ended[line] += 1
     out["broken"] = len(lines) > 1
-    inner = [_closed(_open_line(x, n)) for x, n in zip(lines[1:-1], ended[1:-1])]
+    inner = [_line(x, n) for x, n in zip(lines[1:-1], ended[1:-1])]
     out.update(zip(LINE, (sum(x) for x in zip(*inner)) if inner else (0,) * len(LINE)))
-    out.update(zip((f"head_{n}" for n in OPEN), _open_line(lines[0], ended[0])))
-    out.update(zip((f"tail_{n}" for n in OPEN), _open_line(lines[-1], ended[-1]) if len(lines) > 1 else (0,) * len(OPEN)))
-    # a word that begins before this chunk was counted there, not in this chunk's first line
-    if at and lines[0][:1] and WORD.match(lines[0]) and WORD.match(before[-1]):
-        out["head_words"] -= 1
+    same_before, same_after = before.rpartition("\n")[2], after.partition("\n")[0]
+    out.update(zip((f"head_{n}" for n in OPEN), _piece(lines[0], same_before, "" if len(lines) > 1 else same_after, ended[0])))
+    out.update(zip((f"tail_{n}" for n in OPEN), _piece(lines[-1], "", same_after, ended[-1]) if len(lines) > 1 else _EMPTY))
     return out
 
 
+_EMPTY = _piece("", "", "", 0)
+
+
 def _glue(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
-    """Two pieces of one line; the second decides how it ends, unless it is empty."""
-    return (*(x + y for x, y in zip(a[:-2], b[:-2])), *(b[-2:] if b[1] else a[-2:]))
+    """Two pieces of one line."""
+    return (*(x + y for x, y in zip(a[:5], b[:5])), a[5] if a[1] else b[5], _compose(a[6], b[6], 6), _compose(a[7], b[7], 4))
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -148,18 +211,14 @@ def _fold(states: list[dict]) -> dict:
 def partial_states(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per chunk of each text that isn't null: the key, ``part`` and the state's columns."""
     kind = dict(df.dtypes)[key]
-    n = F.greatest(F.lit(1), F.ceil(F.char_length("text") / CHUNK).cast("int"))
+    side = lambda at, cut: F.coalesce(F.expr(f"{cut}(get(chunks, {at}), {MARGIN})"), F.lit(""))
     chunks = (
         df.select(F.col(key).alias("key"), F.col(text).alias("text"))
         .filter("text is not null")
-        .select("key", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
-        .select(
-            "key",
-            "part",
-            F.expr(f"substring(text, part * {CHUNK} + 1, {CHUNK})").alias("chunk"),
-            F.when(F.col("part") > 0, F.expr(f"substring(text, part * {CHUNK} + 1 - {MARGIN}, {MARGIN})")).otherwise("").alias("before"),
-            F.expr(f"substring(text, (part + 1) * {CHUNK} + 1, {MARGIN})").alias("after"),
-        )
+        # one pass over the text, however many chunks it has
+        .select("key", F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("chunks"))
+        .select("key", "chunks", F.posexplode("chunks").alias("part", "chunk"))
+        .select("key", "part", "chunk", side("part - 1", "right").alias("before"), side("part + 1", "left").alias("after"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

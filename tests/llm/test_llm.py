@@ -41,7 +41,7 @@ def test_suffix_intervals(records):
     ids = np.array([x for r in records for x in r], dtype=np.int64)
     rec = np.repeat(np.arange(len(records)), [len(r) for r in records])
     got = {}
-    for n, first, occ, rows in termstats.suffix_intervals(ids, rec, 3):
+    for n, first, occ, rows in termstats.suffix_intervals(ids, rec, 3, 8):
         for p, o, r in zip(first, occ, rows):
             got[tuple(ids[p : p + n])] = (int(o), int(r))
     want = {}
@@ -56,6 +56,15 @@ def test_suffix_intervals(records):
 # ---- problem 2
 
 
+def test_pairs_of_a_hot_key_are_spread_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 5)
+    monkeypatch.setattr(neardup, "HOT_SHARE", 1000)
+    rows = [(1 if k % 3 else k % 7, k) for k in range(90)]
+    got = [tuple(r) for r in neardup.grid_pairs(frame(spark, rows, "key int, v bigint"), "key", "v").collect()]
+    want = [(a, b) for x, a in rows for y, b in rows if x == y and a < b]
+    assert sorted(got) == sorted(want)
+
+
 def near_rows():
     rng = random.Random(9)
     vocabulary = [f"w{k}" for k in range(400)]
@@ -166,12 +175,23 @@ def test_crf_marginals_match_enumeration():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab. \n|;5дТ!\"", max_size=120), st.lists(st.integers(0, 120), max_size=3))
+@given(st.text(alphabet="ab. ,\n|;5дТ!\"»\t", max_size=120), st.lists(st.integers(0, 120), max_size=3))
 def test_partial_counts_merge_to_the_whole(text, cuts):
     cuts = [0, *sorted(min(c, len(text)) for c in cuts), len(text)]
     parts = [quality.count_chunk(text[a:b], text[max(0, a - quality.MARGIN) : a], text[b : b + quality.MARGIN]) for a, b in zip(cuts, cuts[1:])]
     whole, merged = quality.finish(quality.count_chunk(text)), quality.finish(quality._fold(parts))
-    assert {k: v for k, v in whole.items() if k not in ("lines_ended", "junk_words", "item_lines")} == {k: v for k, v in merged.items() if k not in ("lines_ended", "junk_words", "item_lines")}
+    assert whole == merged
+
+
+def test_every_cut_of_a_text_gives_the_same_counts():
+    text = "Heading kl.\n   a  b  c,d | 12345 67\nEin Wort. \"Ja!\" Он сказал: «Да…»  \r\n- item one\n\n1, 2,3;4\tx. Y" + " " * 30 + "\n" + "word " * 30
+    whole = quality.finish(quality.count_chunk(text))
+    m = quality.MARGIN
+    for a in range(len(text) + 1):
+        parts = [quality.count_chunk(text[i:j], text[max(0, i - m) : i], text[j : j + m]) for i, j in ((0, a), (a, min(len(text), a + 7)), (min(len(text), a + 7), len(text)))]
+        left = quality.merge(quality.merge(parts[0], parts[1]), parts[2])
+        right = quality.merge(parts[0], quality.merge(parts[1], parts[2]))
+        assert quality.finish(left) == whole and quality.finish(right) == whole
 
 
 def test_quality_rules(spark):
