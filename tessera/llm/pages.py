@@ -1,244 +1,162 @@
 """Problem 6: the page's own content among menus, notices, side columns, promotions and footers.
 
-Stage 1 folds all pages of a host into wrappers (see ``wrapper``), one per host and partition, and
-merges them in a tree of (host, bucket) and host; only wrappers are shuffled. Stage 2 brings each
-host's wrapper to its pages by one shuffle: wrappers and pages are hashed by (host, salt) and sorted so
-that the wrapper comes first; pages then stream past it, so no host is ever held in memory. Hosts with
-many rows are salted over many tasks, and their wrapper, a few KB, is repeated for each salt.
+One shuffle brings the pages of a host together, in the order of their ids: hosts with many rows are salted over
+many tasks. A task reads a host's pages (at most ``BLOCK_PAGES`` pages and ``BLOCK_CHARS`` characters at a time),
+folds them into a wrapper (see ``wrapper``) and, where the block is the whole host, labels its pages at once by
+their alignment to the wrapper. Of a host that needs several blocks it gives out the block's wrapper and the
+pages instead; these wrappers are merged in a tree of (host, bucket) and host, in the order of their content, and
+brought to the pages by a second shuffle, hashed by (host, salt) and sorted so that the wrapper comes first. Both
+ways label by the same function, and each page's mark-up is repaired, parsed and aligned once (twice for hosts
+with several blocks).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.wrapper import Line, Wrapper, page_title, parse, text_hash
-from tessera.tables import spread, table
+from tessera.llm.wrapper import TEXT, Layout, Page, Wrapper
+from tessera.tables import materialize, table
 
-#: Rows of a host that one task streams through; a host with more is salted.
-ROWS_PER_SALT = 5_000
+#: Pages and characters of a host in one block; a host with more rows is salted.
+BLOCK_PAGES, BLOCK_CHARS = 5_000, 64_000_000
 MERGE_BUCKETS = 64
+#: A host is salted if it has more than ``BLOCK_PAGES`` rows and more than one of ``HOT_SHARE`` of all rows; the list of
+#: such hosts, which is broadcast, is shorter than ``HOT_SHARE``. Smaller hosts with many rows are blocks of one task.
+HOT_SHARE = 20_000
 
-HEADING = re.compile(r"<h([12])\b", re.I)
-HEADLINE_BOX = re.compile(r"<(h[12]|div)\b[^<>]*>[^<>]+</\1>\s*\Z", re.I)
-FOOT = re.compile(r"<footer|©|&copy;|<aside|</body|</html", re.I)
-AD = re.compile(r"""href=["']?/ad/|(?:>>|&gt;&gt;|»)\s*(?:</a>)?\s*(?:</\w+>)*\s*\Z""", re.I)
-PAGER = re.compile(r"[\d\s|·«»<>.…-]+\Z")
-SIDE = re.compile(r"<h[3-6]\b|<aside|<nav|<header|<form|<script|<style|<title|<button", re.I)
-TEASER = re.compile(r"(?:…|&hellip;|\.\.\.)\s*(?:<a [^<>]*>(?:&rarr;|→|[^<>]{0,3})</a>|</a>)\s*(?:</\w+>)*\s*\Z|<a [^<>]*><img [^<>]*></a>\s*\Z", re.I)
-OPENER = re.compile(r"<(\w+)(?: [^<>]*)?>\Z")
-
-
-Frame = tuple[set[str], set[str]]
-NO_FRAME: Frame = (set(), set())
-
-
-def content_lines(body: str, lines: list[Line], frame: Frame) -> list[int]:
-    """Indexes of the lines that hold the page's own content, by the host's constant texts and headline tokens."""
-    if "<" in body:
-        found = _from_markup(body, lines, frame)
-        if found:
-            return found
-    return _from_text(lines, frame)
-
-
-def _from_markup(body: str, lines: list[Line], frame: Frame) -> list[int]:
-    title = page_title(body)
-    own = lambda x: x.text and x.hash not in frame[0]
-    first = lambda test: next((k for k, x in enumerate(lines) if test(x)), None)
-    start = None
-    if title:
-        start = first(lambda x: x.text == title and "<title" not in x.raw and not TEASER.search(x.raw))
-    if start is None:
-        start = first(lambda x: x.token in frame[1] and own(x) and x.raw[:1] == "<" and "<title" not in x.raw)
-    if start is None:
-        start = first(lambda x: own(x) and HEADING.search(x.raw))
-    if start is None:  # a fragment: its first line is the headline
-        start = first(lambda x: x.raw)
-        if start is None or not HEADLINE_BOX.match(lines[start].raw):
-            return []
-    closing = None
-    for k in range(start - 1, -1, -1):  # the mark-up that opens the content ends it, too
-        raw = lines[k].raw
-        if raw.startswith("<!--") or not raw:
-            continue
-        opened = OPENER.match(raw)
-        closing = f"</{opened.group(1)}>" if opened else None
-        break
-    out = [start]
-    for k in range(start + 1, len(lines)):
-        line = lines[k]
-        raw = line.raw
-        if closing and raw == closing or FOOT.search(raw):
-            break
-        if SIDE.match(raw):
-            if HEADING.match(raw) or not raw.lower().startswith(("<h3", "<aside", "<nav")):
-                continue
-            break
-        if not line.text or AD.search(raw) or PAGER.match(line.text) and "<a " in raw or TEASER.search(raw) or line.hash in frame[0]:
-            continue
-        out.append(k)
-    return out
-
-
-#: A promotion in a plain page: two to five words and a price, a discount or a number.
-PLAIN_AD = re.compile(r"(?:[^\W\d]+ ){1,5}(?:№ \d+|\(\d+\)|-\d+%|\d+[.,]\d\d)\Z")
-
-
-MENU_PART = re.compile(r"\s*[|·•]\s*|\s{2,}")
-
-
-def _menu(line: Line, frame: Frame) -> bool:
-    """Whether a line is a row of menu entries that the host's other pages have one by one."""
-    parts = [p for p in MENU_PART.split(line.raw) if p] if line.token == "T" else []
-    return len(parts) > 1 and sum(text_hash(p) in frame[0] for p in parts) * 2 > len(parts)
-
-
-def _from_text(lines: list[Line], frame: Frame) -> list[int]:
-    kept: list[int] = []
-    last_menu = -1
-    side = False
-    for k, line in enumerate(lines):
-        text = line.text
-        if not text:
-            side = False
-            continue
-        known = line.hash in frame[0] or _menu(line, frame)
-        if text[0] == "©" or "©" in text[:4]:
-            break
-        if text.endswith(":") and (known or len(text) < 40) and k + 1 < len(lines) and lines[k + 1].token == "T...":
-            side = True
-            continue
-        if side and line.token == "T...":
-            continue
-        side = False
-        if known:
-            if not kept or k < 12:
-                last_menu = k
-            continue
-        if line.token == "T>" and (text.count(" > ") >= 1 or text.count(" » ") >= 1) and len(text) < 160:
-            last_menu = k if k < 12 else last_menu
-            continue
-        if text.endswith(">>") or PAGER.match(text) and len(text) < 30 and " " in text:
-            continue
-        kept.append(k)
-    ads = {k for k in kept if PLAIN_AD.match(lines[k].text)}
-    alone = {k for n, k in enumerate(kept) if k in ads and not (n and kept[n - 1] in ads) and not (n + 1 < len(kept) and kept[n + 1] in ads)}
-    kept = [k for n, k in enumerate(kept) if k not in alone or n == 0 or lines[kept[n - 1]].token != "T."]
-    head = [k for k in kept if k < last_menu]
-    if head and len(head) <= 2 and all(lines[k].token == "T" and len(lines[k].text) < 90 for k in head) and len(kept) > len(head):
-        kept = kept[len(head) :]  # a slogan above the menu
-    return kept
-
-
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial wrappers of the partition, given out whenever they are many."""
+_PAGE = "site string, salt int, rec_id bigint, url string, body string, wrapper string"
+
+
+def _page(body: str) -> Page:
     from tessera.llm.mojibake import restore
 
-    kept: dict[str, Wrapper] = {}
+    return Page(restore(body)[0])
+
+
+def _batch(names: list[str], columns) -> pa.RecordBatch:
+    types = {"site": pa.string(), "salt": pa.int32(), "url": pa.string(), "body": pa.string(), "wrapper": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int64())) for n, c in zip(names, columns)], names=names)
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array([w.dumps() for w in kept.values()], pa.string())], names=["site", "wrapper"])
 
-    for batch in batches:
-        for site, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            body = restore(body)[0]
-            kept.setdefault(site, Wrapper()).add(body, parse(body))
-        if len(kept) > 5_000:
-            yield out()
-            kept = {}
-    if kept:
-        yield out()
+def _blocks(emit, names: list[str]):
+    """Rows (site, salt, salts, rec_id, url, body), sorted by host, salt and id, to results, or to wrappers and pages."""
+    out_names = ["site", "salt", "rec_id", "url", "body", "wrapper", *(f"out_{n}" for n in names)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block, chars, cut = None, [], 0, False
+
+        def close(last: bool) -> list[tuple]:
+            """Rows of the finished block; ``last`` tells whether the host's rows in this task end with it."""
+            site, salt, salts = current
+            wrapper = Wrapper.of([page for _, _, _, page in block])
+            if salts == 1 and last and not cut:
+                layout, rows = Layout(wrapper), []
+                for rec_id, url, _, page in block:
+                    rows += [(site, None, None, None, None, None, *r) for r in emit(rec_id, url, page, layout.label(page))]
+                return rows
+            nothing = (None,) * len(names)
+            return [(site, None, None, None, None, wrapper.dumps(), *nothing)] + [(site, salt, rec_id, url, body, None, *nothing) for rec_id, url, body, _ in block]
+
+        rows: list[tuple] = []
+        for batch in batches:
+            for site, salt, salts, rec_id, url, body in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                key = (site, salt, salts)
+                if key != current or len(block) >= 2 * BLOCK_PAGES or chars > BLOCK_CHARS:
+                    if block:
+                        rows += close(key != current)
+                    cut = key == current
+                    current, block, chars = key, [], 0
+                block.append((rec_id, url, body, _page(body)))
+                chars += len(body)
+            if len(rows) > 2_000:
+                yield _batch(out_names, zip(*rows))
+                rows = []
+        if block:
+            rows += close(True)
+        if rows:
+            yield _batch(out_names, zip(*rows))
+
+    return run
 
 
 def _merge(keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key: equal keys are neighbours, one wrapper is held at a time."""
         current, wrapper = None, None
-
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([current[0]], pa.string()), pa.array([wrapper.dumps()], pa.string())], names=["site", "wrapper"])
-
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             for *key, data in zip(*columns):
                 if key != current:
                     if current is not None:
-                        yield row()
+                        yield _batch(["site", "wrapper"], [[current[0]], [wrapper.dumps()]])
                     current, wrapper = key, Wrapper.loads(data)
                 else:
                     wrapper.merge(Wrapper.loads(data))
         if current is not None:
-            yield row()
+            yield _batch(["site", "wrapper"], [[current[0]], [wrapper.dumps()]])
 
     return run
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """``site string, wrapper string``: one merged wrapper per host of ``pages`` (site, body)."""
-    partial = pages.select("site", "body").mapInArrow(_fold, "site string, wrapper string")
-    level = partial.withColumn("bucket", F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_BUCKETS)).cast("int"))
-    level = level.repartition("site", "bucket").sortWithinPartitions("site", "bucket").select("site", "bucket", "wrapper").mapInArrow(_merge(["site", "bucket"]), "site string, wrapper string")
-    return level.repartition("site").sortWithinPartitions("site").select("site", "wrapper").mapInArrow(_merge(["site"]), "site string, wrapper string")
+def merged(partial: DataFrame) -> DataFrame:
+    """``site string, wrapper string``: one wrapper per host of partial ones, merged in a fixed order."""
+    level = partial.select("site", "wrapper").withColumn("bucket", F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_BUCKETS)).cast("int"))
+    level = level.repartition("site", "bucket").sortWithinPartitions("site", "bucket", "wrapper").select("site", "bucket", "wrapper").mapInArrow(_merge(["site", "bucket"]), "site string, wrapper string")
+    return level.repartition("site").sortWithinPartitions("site", "wrapper").select("site", "wrapper").mapInArrow(_merge(["site"]), "site string, wrapper string")
 
 
 def _apply(emit, names: list[str]):
     """Streams rows (site, rec_id, url, body, wrapper); a wrapper row comes before its host's pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.mojibake import restore
-
-        site, frame = None, NO_FRAME
+        layout = None
         for batch in batches:
-            out: list[tuple] = []
-            for host, rec_id, url, body, wrapper in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            rows: list[tuple] = []
+            for _, rec_id, url, body, wrapper in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if wrapper is not None:
-                    site, frame = host, Wrapper.loads(wrapper).frame()
+                    layout = Layout(Wrapper.loads(wrapper))
                     continue
-                if host != site:
-                    site, frame = host, NO_FRAME
-                fixed = restore(body)[0]
-                lines = parse(fixed)
-                out += emit(rec_id, url, fixed, lines, content_lines(fixed, lines, frame))
-            columns = list(zip(*out)) if out else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                page = _page(body)
+                rows += emit(rec_id, url, page, layout.label(page))
+            if rows:
+                yield _batch(names, zip(*rows))
 
     return run
 
 
-def with_wrappers(df: DataFrame, emit, names: list[str]) -> DataFrame:
-    """Rows of bigint columns ``names`` that ``emit(rec_id, url, body, lines, content)`` gives for each page.
+def with_layouts(df: DataFrame, emit, names: list[str]) -> DataFrame:
+    """Rows of bigint columns ``names`` that ``emit(rec_id, url, page, labels)`` gives for each page.
 
     ``df`` has rec_id, url, site, body. A null site is a host of its own. Rows whose body is null give nothing.
     """
-    pages = spread(df.select("rec_id", "url", F.coalesce("site", F.lit("")).alias("site"), "body"), "rec_id").filter("body is not null")
-    # hosts above a fixed share of the rows are at most as many as the share's inverse: their list has a proven bound
-    n = F.broadcast(
-        pages.groupBy("site").agg(F.count("*").alias("n")).filter(F.col("n") > ROWS_PER_SALT).orderBy(F.desc("n"), "site").limit(MAX_HOT).select("site", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int").alias("salts"))
-    )
-    salted = pages.join(n, "site", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rec_id"), F.col("salts")).cast("int"), F.lit(0)))
-    frames = wrappers(pages).join(n, "site", "left").select("site", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "wrapper")
-    both = salted.select("site", "salt", "rec_id", "url", "body", F.lit(None).cast("string").alias("wrapper")).unionByName(
-        frames.select("site", "salt", F.lit(None).cast("bigint").alias("rec_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"), "wrapper")
-    )
-    ordered = both.repartition("site", "salt").sortWithinPartitions("site", "salt", F.col("wrapper").isNull())
-    return ordered.select("site", "rec_id", "url", "body", "wrapper").mapInArrow(_apply(emit, names), ", ".join(f"{n} bigint" for n in names))
-
-
-#: The largest hosts are salted; the list is ordered by size, so what it leaves out is smaller than any host in it.
-MAX_HOT = 2_000
-
-
-def _content(rec_id, url, body, lines, content):
+    pages = df.select("rec_id", "url", F.coalesce("site", F.lit("")).alias("site"), "body").filter("body is not null")
+    sizes = df.select(F.coalesce("site", F.lit("")).alias("site")).groupBy("site").agg(F.count("*").alias("n"))
+    total = df.agg(F.count("*").alias("n")).scalar()
+    hot = sizes.filter((F.col("n") > BLOCK_PAGES) & (F.col("n") * HOT_SHARE > total)).select("site", F.ceil(F.col("n") / BLOCK_PAGES).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = pages.join(F.broadcast(hot), "site", "left").select("site", F.pmod(F.xxhash64("rec_id"), salts).cast("int").alias("salt"), salts.alias("salts"), "rec_id", "url", "body")
+    outs = ", ".join(f"out_{n} bigint" for n in names)
+    first = salted.repartition("site", "salt").sortWithinPartitions("site", "salt", "rec_id").mapInArrow(_blocks(emit, names), f"{_PAGE}, {outs}")
+    first = materialize(first, "blocks")
+    done = first.filter(f"out_{names[0]} is not null").select(*(F.col(f"out_{n}").alias(n) for n in names))
+    rest = first.filter("rec_id is not null").select("site", "salt", "rec_id", "url", "body", "wrapper")
+    places = rest.select("site", "salt").distinct()
+    frames = merged(first.filter("wrapper is not null")).join(places, "site").select("site", "salt", *(F.lit(None).cast(t).alias(n) for n, t in (("rec_id", "bigint"), ("url", "string"), ("body", "string"))), "wrapper")
+    ordered = rest.unionByName(frames).repartition("site", "salt").sortWithinPartitions("site", "salt", F.col("wrapper").isNull(), "rec_id")
+    late = ordered.select("site", "rec_id", "url", "body", "wrapper").mapInArrow(_apply(emit, names), ", ".join(f"{n} bigint" for n in names))
+    return done.unionByName(late)
+
+
+def _content(rec_id, url, page, labels):
     from tessera.llm.spam import is_spam
 
-    if is_spam(lines, content):
+    if is_spam(page.lines, [k for k, _ in labels]):
         return []
-    return [(rec_id, k + 1) for k in content]
+    return [(rec_id, k + 1) for k, label in labels if label == TEXT]
 
 
 def main_content(df: DataFrame) -> DataFrame:
@@ -248,7 +166,7 @@ def main_content(df: DataFrame) -> DataFrame:
     pieces of the body split at a newline, empty ones included. Extra columns are ignored, repeated rows
     give their lines each. An empty table gives no row.
     """
-    return with_wrappers(df, _content, ["rec_id", "line_no"])
+    return with_layouts(df, _content, ["rec_id", "line_no"])
 
 
 def p6_found(spark, sf_dir):

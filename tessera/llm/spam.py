@@ -1,19 +1,26 @@
 """Problem 4: keyword-stuffed and link-list pages.
 
-The page's own content (problem 6's wrappers take the frame away) is tested for missing clause
-structure first: pages with more than a few sentences aren't cases. For the others the suffix
-automaton of the content is built and the characters are measured that repeated maximal substrings
-cover; together with the shares of external links, tags and offers this decides.
+The page's own content (problem 6's wrappers take the frame away) is measured in two ways. Clause structure:
+the share of its words that stand in sentences of some length. Repetition: the suffix automaton of what isn't
+clauses is built, and the characters are measured that repeated maximal substrings cover. The automaton reads
+words and signs; a link to another host, and a tag (a name with a hash sign, or with its count), are one symbol
+each whatever they name, with the characters they take, so lists of links and of tags are repetitions, too.
+A page is a case if the covered share of its characters, weighted by the lack of clauses, is large.
 """
 
 from __future__ import annotations
 
+import html
 import re
 
 from tessera.llm.quality import SENTENCE_END
-from tessera.llm.wrapper import Line
+from tessera.llm.wrapper import ANY_TAG, Line
 
-MIN_REPEAT, MIN_COUNT = 6, 3
+#: A repeat occurs at least so often and is at least so long; words of a sentence at least and at most.
+MIN_COUNT, MIN_CHARS = 3, 4
+CLAUSE_WORDS, LONGEST_CLAUSE = 4, 40
+#: Words that a page must have to be told; share of words in clauses from which no page is a case; least coverage times lack of clauses.
+MIN_WORDS, MOSTLY_CLAUSES, REPETITIVE = 12, 0.75, 0.29
 
 
 class SuffixAutomaton:
@@ -67,112 +74,116 @@ class SuffixAutomaton:
 PIECE = re.compile(r"\w+|[^\w\s]")
 
 
-def repeated_coverage(text: str, min_chars: int = MIN_REPEAT, min_count: int = MIN_COUNT) -> float:
-    """Share of the visible characters that lie in a repeated substring of ``min_chars`` or more; 0 for an empty text.
-
-    The automaton runs over words and signs, so substrings begin and end at word borders.
-    """
-    pieces = PIECE.findall(text)
-    if not pieces:
+def covered_share(pieces: list[str], sizes: list[int], min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT) -> float:
+    """Share of the characters that lie in a repeated substring of ``min_chars`` or more; 0 for nothing."""
+    total = sum(sizes)
+    if not total:
         return 0.0
-    sizes = [len(p) for p in pieces]
     sums = [0]
     for n in sizes:
-        sums.append(sums[-1] + n + 1)
+        sums.append(sums[-1] + n)
     ends = SuffixAutomaton(pieces).longest_repeat_ends(pieces, min_count)
     covered, low = 0, len(pieces)
     for at in range(len(pieces) - 1, -1, -1):
         begin = at - ends[at] + 1
-        if ends[at] and sums[at + 1] - sums[begin] - 1 >= min_chars:
+        if ends[at] and sums[at + 1] - sums[begin] >= min_chars:
             low = min(low, begin)
         if at >= low:
             covered += sizes[at]
-    return covered / sum(sizes)
-
-
-EXTERNAL = re.compile(r"https?://", re.I)
-TAGGED = re.compile(r"#[\w-]+|\(\d+\)\s*\Z")
-OFFER_WORDS = frozenset(
-    # Words of offers in the collection's languages.
-    "купить цена заказать недорого дёшево дешево отзывы скидка доставка распродажа бесплатно онлайн магазин "
-    "купити ціна замовити недорого дешево відгуки знижка доставка розпродаж безкоштовно онлайн "
-    "buy price order cheap reviews discount delivery sale free online shop "
-    "kaufen preis bestellen günstig billig bewertungen rabatt lieferung angebot kostenlos gratis online "
-    "acheter prix commander avis promo livraison remise soldes gratuit ligne pas cher "
-    "comprar precio pedir barato opiniones oferta descuento envío gratis tienda rebajas".split()
-)
-WORD = re.compile(r"[^\W\d_]+")
+    return covered / total
+
+
+def repeated_coverage(text: str, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT) -> float:
+    """Share of the visible characters of a text that repeated substrings cover."""
+    pieces = PIECE.findall(text)
+    return covered_share(pieces, list(map(len, pieces)), min_chars, min_count)
+
+
+#: Stand-ins of a link to another host and of a tag.
+LINKED, TAGGED = "\x01", "\x02"
+OUTGOING = re.compile(r"""<a\b[^<>]*?href=["']?(https?://[^"'\s<>]*)[^<>]*>(.*?)(?:</a>|\Z)""", re.I)
+TAG = re.compile(r"#\w[\w-]*|\b\w[\w-]*\s*\(\d+\)")
+NAME = re.compile(r"[^\W\d_]{2,}")
 ORDINAL = re.compile(r"^\s*(?:\d+[.)]|[-•*])\s+")
+SYMBOL = re.compile(rf"{LINKED}|{TAGGED}|\w+|[^\w\s]")
 
 
-def features(lines: list[Line], content: list[int]) -> dict[str, float]:
-    """What the rule of ``is_spam`` looks at; the first content line is the headline."""
-    own = [lines[k] for k in content[1:]]
-    text = "\n".join(x.text for x in own)
-    words = WORD.findall(text.lower())
-    return {
-        "lines": len(own),
-        "words": len(words),
-        "external": sum(bool(EXTERNAL.search(x.raw)) for x in own) / max(1, len(own)),
-        "links": sum(len(EXTERNAL.findall(x.raw)) for x in own) / max(1, len(words)),  # an address in the text counts up to five words
-        "tags": len(TAGGED.findall(text)) / max(1, len(words)) if "#" in text else sum(bool(TAGGED.search(x.text)) for x in own) / max(1, len(own)),
-        "offers": sum(w in OFFER_WORDS for w in words) / max(1, len(words)),
-        "distinct": len(set(words)) / max(1, len(words)),
-    }
-
-
-def clause_structure(lines: list[Line], content: list[int]) -> tuple[int, int]:
-    """(sentences, words) of the content without its headline; a line's end alone ends no sentence, a capital has to follow."""
-    whole = " ".join([lines[k].text for k in content[1:]])
-    return len(SENTENCE_END.findall(whole)), whole.count(" ") + 1
-
-
-def ended_lines(lines: list[Line], content: list[int]) -> int:
-    """Sentences if a line's end ends one whatever follows: short sentences, or keywords with full stops."""
-    return len(SENTENCE_END.findall("\n".join([lines[k].text for k in content[1:]])))
-
-
-def junk_text(lines: list[Line], content: list[int]) -> str:
-    """The content without headline and sentences, as one string for the automaton."""
-    rest = []
-    for k in content[1:]:
-        text = lines[k].text
-        if len(text) < 300 and not text[:1].islower() and SENTENCE_END.search(text):
+def clauses(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of ``CLAUSE_WORDS`` words or more; of what precedes an end mark the last ``LONGEST_CLAUSE`` words at most."""
+    out, at = [], 0
+    for m in SENTENCE_END.finditer(text):
+        begin, at = at, m.end()
+        part = text[begin:at]
+        if part.count(". ") * CLAUSE_WORDS > part.count(" "):  # single words with full stops
             continue
-        rest.append(ORDINAL.sub("", text).lower())
-    return " ; ".join(rest)
+        words = part.rsplit(None, LONGEST_CLAUSE)
+        begin += max(len(words[0]) if len(words) > LONGEST_CLAUSE else 0, part.rfind(LINKED) + 1, part.rfind(TAGGED) + 1)
+        if len(text[begin:at].split(None, CLAUSE_WORDS)) >= CLAUSE_WORDS:
+            out.append((begin, at))
+    return out
+
+
+def clause_share(text: str) -> float:
+    words = len(text.split())
+    return sum(len(text[a:b].split()) for a, b in clauses(text)) / max(1, words)
+
+
+def repetition(raw: list[str]) -> float:
+    """Share of the characters of content lines, clauses apart, that repeated substrings cover."""
+    sizes: list[int] = []
+
+    def link(m: re.Match) -> str:
+        sizes.append(len(m.group(1)) + len(ANY_TAG.sub("", m.group(2))))
+        return LINKED
+
+    def tag(m: re.Match) -> str:
+        marked.append(len(m.group()))
+        return TAGGED
+
+    marked: list[int] = []
+    lines = [html.unescape(ANY_TAG.sub(" ", OUTGOING.sub(link, ORDINAL.sub("", x)))) for x in raw]
+    text = TAG.sub(tag, "\n".join(" ".join(x.split()) for x in lines))
+    pieces, lengths, at = [], [], 0
+    linked, tagged = iter(sizes), iter(marked)
+    for a, b in [*clauses(text), (len(text), len(text))]:
+        for m in SYMBOL.finditer(text, at, a):
+            piece = m.group()
+            pieces.append(piece.lower())
+            lengths.append(next(linked) if piece == LINKED else next(tagged) if piece == TAGGED else len(piece))
+        pieces.append("\n")  # no repeat runs over a sentence
+        lengths.append(0)
+        for piece in text[a:b]:
+            if piece == LINKED:
+                next(linked)
+            elif piece == TAGGED:
+                next(tagged)
+        at = b
+    return covered_share(pieces, lengths)
 
 
 def is_spam(lines: list[Line], content: list[int]) -> bool:
-    """Whether the page's own content is repeated keywords, lists of links or product tags."""
+    """Whether the page's own content (its first line is the headline) is repeated keywords, lists of links or product tags."""
     if len(content) < 2:
         return False
-    sentences, words = clause_structure(lines, content)
-    if words < 12 or sentences > 2 and sentences * 25 > words:
+    own = [lines[k] for k in content[1:]]
+    text = "\n".join([x.text for x in own])
+    if len(NAME.findall(text)) < MIN_WORDS:
+        return False
+    share = clause_share(text)
+    if share > MOSTLY_CLAUSES:
         return False
-    f = features(lines, content)
-    by_line = ended_lines(lines, content)
-    if by_line > 2 and by_line * 25 > words:
-        return f["distinct"] < 0.3 and repeated_coverage(junk_text(lines, content)) >= 0.6
-    if f["lines"] >= 4 and f["external"] >= 0.5 or f["links"] >= 0.1:
-        return True
-    if f["tags"] >= 0.4:
-        return True
-    coverage = repeated_coverage(junk_text(lines, content))
-    if f["offers"] >= 0.12:
-        return coverage >= 0.15
-    return coverage >= 0.6 and f["distinct"] < 0.5 or coverage + 2 * f["offers"] >= 0.75 and f["offers"] > 0.04
+    return repetition([x.raw for x in own]) * (1 - share) >= REPETITIVE
 
 
-def p4_rows(rec_id, url, body, lines, content):
-    return [(rec_id,)] if is_spam(lines, content) else []
+def p4_rows(rec_id, url, page, labels):
+    return [(rec_id,)] if is_spam(page.lines, [k for k, _ in labels]) else []
 
 
 def keyword_pages(df):
     """``rec_id`` of the spam pages of ``df`` (rec_id, url, site, body); null and blank bodies are none."""
-    from tessera.llm.pages import with_wrappers
+    from tessera.llm.pages import with_layouts
 
-    return with_wrappers(df, p4_rows, ["rec_id"])
+    return with_layouts(df, p4_rows, ["rec_id"])
 
 
 def p4_found(spark, sf_dir):

@@ -1,17 +1,22 @@
 """Wrapper induction for pages of one host (problem 6).
 
-A page is a stream of line tokens: mark-up with its classes, and whether text stands in it. A wrapper
-is a union-free regular expression over such tokens: a list of nodes, each of which is required,
-optional (seen on some pages) or repeated (seen several times in a row), with a text that is constant
-or a slot. Pages are folded into it one by one. Tokens that align (longest matching blocks) join a
-node; where the streams differ, the surplus tokens become optional nodes; runs of the same token become
-a repeated node; differing texts at a node turn it into a slot. Two wrappers merge in the same way, so
-partial wrappers of one host can be built on many executors and merged in a tree.
-
-The texts seen at a node are kept as a heavy-hitter summary of ``KEEP`` counters (every text on more
-than 1 / (KEEP + 1) of the node's pages survives, whatever the number of pages), each with up to three page
-keys that have nothing in common. A page key is six hash minima over the word triples of the page's long
-lines, so that copies and near copies of one page don't make its sentences look like part of the frame.
+A page is a stream of line tokens: mark-up with its classes, and whether text stands in it. A wrapper is
+a union-free regular expression over such tokens: a list of nodes, each of which is constant (a text that
+the host's pages repeat), or a slot for texts, or bare mark-up; required or optional (seen on some pages);
+single or repeated (seen several times in a row). Pages are folded into it one by one. Texts that many
+pages of a block have in common are tokens of their own, so they anchor the alignment; tokens that align
+(longest matching blocks) join a node; where the streams differ, the surplus tokens become optional nodes,
+and runs of the same token a repeated node. Two wrappers merge in the same way, so partial wrappers of a
+large host can be built in many tasks and merged in a tree.
+
+A text counts as repeated if pages with different page keys have it. A page key is six hash minima over the
+word triples of the page's long lines, so that copies and near copies of one page don't make its sentences
+look like part of the frame.
+
+``Layout`` reads the finished wrapper: where the page's own content begins (the node at which the pages'
+titles stand as headlines), where it ends (the node that closes the element around the headline), which
+nodes are constant and which slots only lead to other pages (all their text is links, or they end in a link
+without words). A page's lines get their labels from the nodes they align with.
 """
 
 from __future__ import annotations
@@ -19,17 +24,20 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from difflib import SequenceMatcher
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 
-KEEP = 48
-MAX_NODES = 600
 #: A text belongs to the frame if it stands on this share of the host's pages, with as many different page keys.
 FRAME_SHARE, FRAME_KEYS = 0.04, 3
 #: From this share of the pages on two keys are enough.
 OFTEN = 0.25
+#: A block's wrapper keeps the counts of texts on two of its pages and on this share of them. Of a host in several blocks of
+#: hundreds of pages, texts on more than ``FRAME_SHARE + KEPT_SHARE`` of the pages are thus always found, and none below ``FRAME_SHARE``.
+KEPT_SHARE = 0.01
 
 TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9]*)([^<>]*)>")
 ANY_TAG = re.compile(r"<[^<>]*>")
@@ -38,8 +46,15 @@ SPACE = re.compile(r"\s+")
 INLINE = {"a", "/a", "b", "/b", "i", "/i", "em", "/em", "strong", "/strong", "br", "span", "/span", "u", "/u"}
 TITLE = re.compile(r"<title>(.*?)(?:</title>|\Z)", re.I)
 COMMENT = re.compile(r"<!--.*?-->|<button\b.*?</button>")
+LINK = re.compile(r"<a\b[^<>]*>(.*?)(?:</a>|\Z)", re.I)
+WORDS = re.compile(r"\w")
+END_MARKS = re.compile(r"[.!?]")
+OPENER = re.compile(r"<(\w+)(?: [^<>]*)?>\Z")
 #: Signs between the parts of a menu line; menus differ in them from page to page.
 BETWEEN = re.compile(r"\s*[|·•]\s*")
+PARTS = re.compile(r"\s*[|·•]\s*|\s{2,}")
+#: Elements whose text is no text of the page.
+UNSEEN = {"script", "style", "title", "form", "button"}
 
 
 class Line:
@@ -68,17 +83,25 @@ class Line:
         if "&" in text:
             text = html.unescape(text)
         self.text = SPACE.sub(" ", text).strip()
-        link = "@" if raw.startswith("<a ") or "><a " in raw else ""
-        self.token = " ".join(names) + link + ("#" if self.text else "")
-
+        self.token = " ".join(names) + ("#" if self.text else "") + (_links(raw, self.text) if "<a" in raw else "")
 
     @property
     def hash(self) -> str:
         if self._hash is None:
-            self._hash = text_hash(BETWEEN.sub(" ", self.text))
+            self._hash = text_hash(BETWEEN.sub(" ", self.text).rstrip(":"))
         return self._hash
 
 
+def _links(raw: str, text: str) -> str:
+    """``@`` if all words of the line are links, ``>`` if it ends in a link without words, else nothing."""
+    links = [html.unescape(ANY_TAG.sub(" ", x)) for x in LINK.findall(raw)]
+    if not links:
+        return ""
+    if not WORDS.search(links[-1]) and not END_MARKS.search(links[-1]) and ANY_TAG.sub(" ", raw[raw.lower().rfind("</a>") + 4 :]).strip() == "":
+        return ">"
+    return "@" if sum(len(WORDS.findall(x)) for x in links) >= len(WORDS.findall(text)) else ""
+
+
 def _plain_token(text: str) -> str:
     if not text:
         return ""
@@ -86,7 +109,9 @@ def _plain_token(text: str) -> str:
         return "T..." if text.endswith("...") or text.endswith("…") else "T."
     if " > " in text or " » " in text:
         return "T>"
-    return "T:" if text[-1] == ":" else "T"
+    if text[-1] == ">":
+        return "T@"
+    return "T:" if text[-1] == ":" else "T%" if text[-1].isdigit() or text[-1] in "%)" else "T"
 
 
 def parse(body: str) -> list[Line]:
@@ -150,122 +175,290 @@ def page_key(lines: list[Line]) -> list[int]:
     return (((triple[None, :] ^ (triple[None, :] >> np.uint64(15))) * _MINIMA[:, None]) & _LOW).min(axis=1).tolist()
 
 
-class Wrapper:
+class Texts:
+    """On how many pages each text stands, with up to ``FRAME_KEYS`` page keys that have nothing in common."""
+
     def __init__(self) -> None:
-        self.pages = 0
-        self.heads: dict[str, int] = {}  # tokens of lines whose text is the title: the headline's node
-        self.nodes: list[dict] = []  # token, n (pages), runs (pages where it is repeated), texts: {hash: [count, keys]}
-        self._known: dict[tuple[str, ...], list[dict]] = {}
+        self.seen: dict[str, list] = {}
+
+    def add(self, text: str, count: int, keys: list[list[int]]) -> None:
+        known = self.seen.get(text)
+        if known is None:
+            self.seen[text] = [count, list(keys[:FRAME_KEYS])]
+            return
+        known[0] += count
+        if len(known[1]) < FRAME_KEYS:
+            for key in keys:
+                if len(known[1]) < FRAME_KEYS and not any(a == b for other in known[1] for a, b in zip(key, other)):
+                    known[1].append(key)
+
+    def constant(self, pages: int, share: float) -> set[str]:
+        """Texts on ``share`` of the pages, with page keys enough."""
+        least = max(2, share * pages)
+        return {t for t, (count, keys) in self.seen.items() if count >= least and (len(keys) >= FRAME_KEYS or len(keys) >= 2 and count >= OFTEN * pages)}
+
+
+class Node:
+    """``n`` pages have it, on ``runs`` of them it is repeated; on ``heads`` it holds the title as headline, on ``ends`` it closes the element around it."""
+
+    __slots__ = ("token", "n", "runs", "mass", "heads", "ends")
+
+    def __init__(self, token: str, n: int = 0, runs: int = 0, mass: int = 0, heads: int = 0, ends: int = 0):
+        self.token, self.n, self.runs, self.mass, self.heads, self.ends = token, n, runs, mass, heads, ends
+
+    def row(self) -> list:
+        return [self.token, self.n, self.runs, self.mass, self.heads, self.ends]
+
+
+class Page:
+    """A parsed page: its lines, its token stream (runs of lines with the same token), headline and closing line by its own mark-up."""
+
+    __slots__ = ("body", "lines", "marked", "key", "head", "close", "runs", "tokens")
 
-    def add(self, body: str, lines: list[Line]) -> None:
-        """Fold one page in."""
+    def __init__(self, body: str):
+        self.body, self.lines, self.marked = body, parse(body), "<" in body
+        self.key = page_key(self.lines)
+        self.head = self.close = None
+        title = page_title(body) if self.marked else ""
+        if title:
+            self.head = next((k for k, x in enumerate(self.lines) if x.text == title and not _unseen(x.token) and x.token[-1:] not in "@>"), None)
+        if self.head is not None:
+            self.close = closing_line(self.lines, self.head)
+
+    def stream(self, constant: set[str]) -> tuple[str, ...]:
+        """Tokens of the page; a text among ``constant`` is a token of its own. ``runs`` has each token's lines."""
         tokens: list[str] = []
-        texts: list[list[str]] = []
-        title, marked = page_title(body), "<" in body
-        for line in lines:
+        self.runs: list[list[int]] = []
+        unseen = ""
+        for k, line in enumerate(self.lines):
             token = line.token
             if not token:
                 continue
-            if marked and token[0] == "T":  # wrapped lines of a page with mark-up are one run of text
+            if unseen or _unseen(token):  # scripts and styles over several lines are one token
+                if not unseen:
+                    unseen = _unseen(token)
+                if f"/{unseen}" in token or unseen == "title":
+                    unseen = ""
+                token = "unseen"
+            elif is_constant(line, constant):
+                token = f"={line.hash}"
+            elif self.marked and token[0] == "T":  # wrapped lines of a page with mark-up are one run of text
                 token = "T"
             if tokens and tokens[-1] == token:
-                texts[-1].append(line.hash if line.text else "")
+                self.runs[-1].append(k)
             else:
                 tokens.append(token)
-                texts.append([line.hash if line.text else ""])
-            if title and line.text == title and "<title" not in line.raw:
-                self.heads[line.token] = self.heads.get(line.token, 0) + 1
-        key = page_key(lines)
-        self.pages += 1
-        for node, found in zip(self._align(tuple(tokens)), texts):
-            node["n"] += 1
-            node["runs"] += len(found) > 1
-            for text in found:
-                if text:
-                    _count(node["texts"], text, 1, [key])
+                self.runs.append([k])
+        self.tokens = tuple(tokens)
+        return self.tokens
+
+
+def _unseen(token: str) -> str:
+    """The element that hides this line's text, if any."""
+    name = token.split(" ", 1)[0].split(".", 1)[0].rstrip("#@>")
+    return name if name in UNSEEN else ""
+
+
+def closing_line(lines: list[Line], head: int) -> int | None:
+    """The line that closes the element in which the headline stands."""
+    for k in range(head - 1, -1, -1):
+        raw = lines[k].raw
+        if raw.startswith("<!--") or not raw:
+            continue
+        opened = OPENER.match(raw)
+        if opened:
+            closer = f"</{opened.group(1)}>".lower()
+            return next((j for j in range(head + 1, len(lines)) if lines[j].raw.lower() == closer), None)
+        return None
+    return None
+
+
+def is_constant(line: Line, constant: set[str]) -> bool:
+    """Whether a line is one of the constant texts, or a row of menu entries that are."""
+    if not line.text:
+        return False
+    if line.hash in constant:
+        return True
+    if line.token[0] != "T":
+        return False
+    parts = [p for p in PARTS.split(line.raw) if p]
+    return len(parts) > 1 and sum(text_hash(p) in constant for p in parts) * 2 > len(parts)
+
+
+class Wrapper:
+    def __init__(self) -> None:
+        self.pages = 0
+        self.texts = Texts()
+        self.nodes: list[Node] = []
+        self._known: dict[tuple[str, ...], list[Node]] = {}
+
+    @classmethod
+    def of(cls, pages: list[Page]) -> "Wrapper":
+        """The wrapper of a block of pages: count their texts, then align them one by one."""
+        out = cls()
+        out.pages = len(pages)
+        hashes = [{x.hash for x in page.lines if x.text} for page in pages]
+        counts = Counter(chain.from_iterable(hashes))
+        kept = {t for t, n in counts.items() if n >= max(2, KEPT_SHARE * out.pages)}
+        for page, found in zip(pages, hashes):
+            for text in found & kept:
+                out.texts.add(text, 1, [page.key])
+        constant = out.texts.constant(out.pages, FRAME_SHARE)
+        rare = _rare_classes(pages)
+        for page in pages:
+            out._fold(page, constant, rare)
+        return out
+
+    def _fold(self, page: Page, constant: set[str], rare: set[str]) -> None:
+        tokens = page.stream(constant)
+        if rare:
+            tokens = tuple(_general(t) if t in rare else t for t in tokens)
+        for node, run in zip(self.align(tokens), page.runs):
+            node.n += 1
+            node.runs += len(run) > 1
+            node.heads += page.head in run
+            node.ends += page.close in run
+            if node.token[0] != "=":
+                node.mass += sum(len(page.lines[k].text) for k in run)
 
     def merge(self, other: "Wrapper") -> None:
         """Fold another wrapper of the same host in."""
         self.pages += other.pages
-        for token, n in other.heads.items():
-            self.heads[token] = self.heads.get(token, 0) + n
-        for node, theirs in zip(self._align(tuple(n["token"] for n in other.nodes)), other.nodes):
-            node["n"] += theirs["n"]
-            node["runs"] += theirs["runs"]
-            for text, (count, keys) in theirs["texts"].items():
-                _count(node["texts"], text, count, keys)
-
-    def _align(self, tokens: tuple[str, ...]) -> list[dict]:
-        """The node of each token; tokens that don't align get new optional nodes in place."""
-        if tokens in self._known:
-            return self._known[tokens]
-        if not self.nodes:
-            out = [_node(t) for t in tokens]
-            self.nodes = list(out)
-        else:
-            out, merged = [], []
-            match = SequenceMatcher(None, [n["token"] for n in self.nodes], tokens, autojunk=False)
-            for kind, a, b, c, d in match.get_opcodes():
-                merged += self.nodes[a:b]
-                if kind == "equal":
-                    out += self.nodes[a:b]
-                else:
-                    fresh = [_node(t) for t in tokens[c:d]]
-                    out += fresh
-                    merged += fresh
+        for text, (count, keys) in other.texts.seen.items():
+            self.texts.add(text, count, keys)
+        for node, theirs in zip(self.align(tuple(n.token for n in other.nodes)), other.nodes):
+            node.n += theirs.n
+            node.runs += theirs.runs
+            node.mass += theirs.mass
+            node.heads += theirs.heads
+            node.ends += theirs.ends
+
+    def align(self, tokens: tuple[str, ...], grow: bool = True) -> list[Node | None]:
+        """The node of each token; tokens that don't align get new optional nodes in place (None if it mustn't grow)."""
+        known = self._known.get(tokens)
+        if known is not None:
+            return known
+        own = [n.token for n in self.nodes]
+        low, high = 0, 0
+        short = min(len(own), len(tokens))
+        while low < short and own[low] == tokens[low]:
+            low += 1
+        while high < short - low and own[-1 - high] == tokens[-1 - high]:
+            high += 1
+        out: list[Node | None] = list(self.nodes[:low])
+        merged = list(self.nodes[:low])
+        middle = self.nodes[low : len(own) - high]
+        match = SequenceMatcher(None, own[low : len(own) - high], tokens[low : len(tokens) - high], autojunk=False)
+        for kind, a, b, c, d in match.get_opcodes():
+            merged += middle[a:b]
+            if kind == "equal":
+                out += middle[a:b]
+            elif grow:
+                fresh = [Node(t) for t in tokens[low + c : low + d]]
+                out += fresh
+                merged += fresh
+            else:
+                out += [None] * (d - c)
+        tail = self.nodes[len(own) - high :]
+        out += tail
+        merged += tail
+        if grow:
             self.nodes = merged
-        if len(self.nodes) > MAX_NODES:  # nodes of a single page tell nothing about the frame
-            gone = [n for n in self.nodes if n["n"] == 1]
-            self.nodes = [n for n in self.nodes if n["n"] != 1]
-            dead = set(map(id, gone))
-            self._known = {k: v for k, v in self._known.items() if not any(id(n) in dead for n in v)}
-        elif len(self._known) < 4000:
+        if len(self._known) < 10_000:
             self._known[tokens] = out
         return out
 
     def dumps(self) -> str:
-        return json.dumps([self.pages, self.heads, [[n["token"], n["n"], n["runs"], n["texts"]] for n in self.nodes]], separators=(",", ":"))
+        return json.dumps([self.pages, self.texts.seen, [n.row() for n in self.nodes]], separators=(",", ":"))
 
     @classmethod
     def loads(cls, data: str) -> "Wrapper":
         out = cls()
-        out.pages, out.heads, nodes = json.loads(data)
-        out.nodes = [{"token": t, "n": n, "runs": r, "texts": x} for t, n, r, x in nodes]
+        out.pages, out.texts.seen, nodes = json.loads(data)
+        out.nodes = [Node(*n) for n in nodes]
+        return out
+
+
+def _rare_classes(pages: list[Page]) -> set[str]:
+    """Tokens with a class that a single page of the block has: the class tells nothing."""
+    found: dict[str, int] = {}
+    for k, page in enumerate(pages):
+        for line in page.lines:
+            if "." in line.token and line.token[0] != "T":
+                known = found.get(line.token)
+                found[line.token] = k if known is None or known == k else -1
+    return {t for t, k in found.items() if k >= 0}
+
+
+def _general(token: str) -> str:
+    return " ".join(x.split(".", 1)[0] if "." in x else x for x in token.split(" "))
+
+
+FRAME, LEADS, TEXT = 0, 1, 2
+
+
+class Layout:
+    """Labels of a page's lines by a finished wrapper."""
+
+    def __init__(self, wrapper: Wrapper):
+        self.wrapper = wrapper
+        self.constant = wrapper.texts.constant(wrapper.pages, FRAME_SHARE)
+        at = {id(n): k for k, n in enumerate(wrapper.nodes)}
+        self.at = at
+        heads = sum(n.heads for n in wrapper.nodes)
+        ends = sum(n.ends for n in wrapper.nodes)
+        self.heads = {k for k, n in enumerate(wrapper.nodes) if n.heads * 10 >= heads > 0 and n.heads > 0}
+        self.ends = {k for k, n in enumerate(wrapper.nodes) if n.ends * 10 >= ends > 0 and n.ends > 0}
+        self.head_tokens = {wrapper.nodes[k].token for k in self.heads}
+        self.last = max(self.ends, default=len(wrapper.nodes))
+        most = max((n.mass for n in wrapper.nodes if n.token == "T."), default=0)
+        # the first of the slots that hold the plain pages' text
+        self.main = next((k for k, n in enumerate(wrapper.nodes) if n.token == "T." and n.mass * 4 >= most), len(wrapper.nodes))
+
+    def label(self, page: Page) -> list[tuple[int, int]]:
+        """(line, TEXT) of the lines of the page's own content, the headline first, and (line, LEADS) of the links among them."""
+        tokens = page.stream(self.constant)
+        nodes = [self.at.get(id(n), -1) if n else -1 for n in self.wrapper.align(tokens, grow=False)]
+        found = self._marked(page, nodes) if page.marked else []
+        return found or self._plain(page, nodes)
+
+    def _marked(self, page: Page, nodes: list[int]) -> list[tuple[int, int]]:
+        start = page.head
+        if start is None:  # no headline by the title: the line at the headline's node, or one like it
+            start = next((run[0] for run, k in zip(page.runs, nodes) if k in self.heads), None)
+        if start is None:
+            start = next((run[0] for run, token in zip(page.runs, page.tokens) if token in self.head_tokens), None)
+        if start is None:  # a fragment begins with its headline
+            start = next((run[0] for run, token in zip(page.runs, page.tokens) if token[0] not in "=T" and token[-1] == "#"), None)
+            if start is None or start != page.runs[0][0]:
+                return []
+        close = page.close if start == page.head else closing_line(page.lines, start)
+        unclosed = close is None and page.head is not None
+        out, inside = [], False
+        for run, token, k in zip(page.runs, page.tokens, nodes):
+            if run[-1] < start:
+                continue
+            if inside and (close is not None and run[0] <= close <= run[-1] or k in self.ends or unclosed and k > self.last):
+                break
+            inside = True
+            for line in run:
+                if line < start or not page.lines[line].text:
+                    continue
+                if line == start or token != "unseen" and token[0] != "=":
+                    out.append((line, LEADS if token[-1] in "@>" and line != start else TEXT))
         return out
 
-    def frame(self) -> tuple[set[str], set[str]]:
-        """(hashes of the constant texts, tokens of the headline's node)."""
-        total: dict[str, list] = {}
-        for node in self.nodes:
-            for text, (count, keys) in node["texts"].items():
-                _count(total, text, count, keys, bounded=False)
-        least = max(2, FRAME_SHARE * self.pages)
-        keys = FRAME_KEYS if self.pages >= 12 else 2
-        heads = {t for t, n in self.heads.items() if n * 10 >= sum(self.heads.values()) and "@" not in t}
-        often = OFTEN * self.pages
-        return {t for t, (count, seen) in total.items() if count >= least and (len(seen) >= keys or count >= often and len(seen) >= 2)}, heads
-
-
-def _node(token: str) -> dict:
-    return {"token": token, "n": 0, "runs": 0, "texts": {}}
-
-
-def _count(texts: dict, text: str, count: int, keys: list[list[int]], bounded: bool = True) -> None:
-    known = texts.get(text)
-    if known is None:
-        if bounded and len(texts) >= KEEP:  # heavy hitters: a new text costs every counter one
-            least = min(min(v[0] for v in texts.values()), count)
-            for t in [t for t, v in texts.items() if v[0] <= least]:
-                del texts[t]
-            for v in texts.values():
-                v[0] -= least
-            count -= least
-            if not count:
-                return
-        texts[text] = [count, list(keys[:FRAME_KEYS])]
-        return
-    known[0] += count
-    if len(known[1]) < FRAME_KEYS:
-        for key in keys:
-            if len(known[1]) < FRAME_KEYS and not any(a == b for other in known[1] for a, b in zip(key, other)):
-                known[1].append(key)
+    def _plain(self, page: Page, nodes: list[int]) -> list[tuple[int, int]]:
+        first, seen_main = -1, False  # the page's last line that the host's pages have before their text
+        for run, token, k in zip(page.runs, page.tokens, nodes):
+            seen_main |= k == self.main
+            if token == "T>" or token[0] == "=" and (k < self.main if k >= 0 else not seen_main):
+                first = run[-1]
+        out, before = [], ""
+        for run, token, k in zip(page.runs, page.tokens, nodes):
+            alone = token == "T%" and len(run) == 1 and before == "T." and out and (k < 0 or self.wrapper.nodes[k].runs < self.wrapper.nodes[k].n)
+            leads = token == "T..." and before[:1] == "=" or token in ("T@", "T>") or alone
+            before = token
+            if not (leads or token[0] == "=" or token == "unseen"):
+                out += [(line, TEXT) for line in run if page.lines[line].text and line > first]
+        return out

@@ -246,15 +246,44 @@ def test_own_content_and_spam(spark):
     assert pages.main_content(df.limit(0)).count() == 0
 
 
-def test_wrappers_merge_like_one(spark):
-    bodies = [r[3] for r in crawl_rows() if r[3]][:14]
-    whole, a, b = wrapper.Wrapper(), wrapper.Wrapper(), wrapper.Wrapper()
-    for k, body in enumerate(bodies):
-        whole.add(body, wrapper.parse(body))
-        (a if k % 2 else b).add(body, wrapper.parse(body))
+def host_pages():
+    return [wrapper.Page(r[3]) for r in crawl_rows() if r[3] and r[0] < 60]
+
+
+def test_wrappers_merge_like_one():
+    whole = wrapper.Wrapper.of(host_pages())
+    a, b = wrapper.Wrapper.of(host_pages()[::2]), wrapper.Wrapper.of(host_pages()[1::2])
     a.merge(wrapper.Wrapper.loads(b.dumps()))
-    assert a.pages == whole.pages and a.frame() == whole.frame()
-    assert wrapper.text_hash("Tell a friend") in a.frame()[0] and wrapper.text_hash("Page number 3 of all") not in a.frame()[0]
+    assert a.pages == whole.pages and sum(n.heads for n in a.nodes) == sum(n.heads for n in whole.nodes)
+    one, two = wrapper.Layout(whole), wrapper.Layout(a)
+    assert [one.label(p) for p in host_pages()] == [two.label(p) for p in host_pages()]
+
+
+def test_labels_follow_the_nodes_of_the_wrapper():
+    titled = host_pages()
+    fragments = [wrapper.Page("\n".join(p.body.split("\n")[6:9] + p.body.split("\n")[9:])) for p in host_pages()[:4]]
+    assert all(p.head is None for p in fragments)  # without a title the headline is known by its node only
+    right = [wrapper.Layout(wrapper.Wrapper.of(titled)).label(p) for p in fragments]
+    assert all(x and x[0][1] == wrapper.TEXT for x in right)
+    votes = wrapper.Wrapper.of(titled)
+    for node in votes.nodes:
+        node.heads = node.ends = 0
+    mixed = wrapper.Wrapper.of(titled)
+    mixed.nodes.reverse()
+    mixed._known.clear()
+    plain = wrapper.Page("The old site\nHome | Archive\nA headline of its own\nThe body says enough about it. It ends here.\nTell a friend")
+    structured = wrapper.Wrapper.of(titled + [wrapper.Page(plain.body.replace("headline", f"headline{k}").replace("body", f"body{k} goes {k}")) for k in range(6)])
+    shuffled = wrapper.Wrapper.loads(structured.dumps())
+    shuffled.nodes.reverse()
+    assert wrapper.Layout(structured).label(plain) != wrapper.Layout(shuffled).label(plain)
+    assert [wrapper.Layout(votes).label(p) for p in fragments] != right or [wrapper.Layout(mixed).label(p) for p in fragments] != right
+
+
+def test_hosts_in_several_blocks(spark, monkeypatch):
+    df = frame(spark, crawl_rows(), "rec_id bigint, url string, site string, body string")
+    whole = sorted(map(tuple, pages.main_content(df).collect()))
+    monkeypatch.setattr(pages, "BLOCK_PAGES", 6)
+    assert sorted(map(tuple, pages.main_content(df).collect())) == whole
 
 
 def test_suffix_automaton_coverage():
