@@ -423,12 +423,36 @@ def test_packing_rows(spark, reference):
 
 
 def test_training_boundaries_are_learned():
-    wrong = 0
+    wrong = n = 0
     for text, cuts in sentences._examples():
         found = sentences.candidates(text)
-        wrong += sum((end in cuts) != tag for (end, _, _), tag in zip(found, sentences.model().decode(text, found)))
-        assert cuts <= {end for end, _, _ in found}
-    assert wrong <= 2
+        wrong += sum((c.end in cuts) != tag for c, tag in zip(found, sentences.model().decode(found)))
+        n += len(found)
+        assert cuts <= {c.end for c in found}
+    assert wrong <= 0.01 * n
+
+
+def test_held_out_sequences_are_cut_well():
+    examples = sentences._examples()
+    model = sentences.train(examples[: len(examples) // 2])
+    found = [(sentences.candidates(t), cuts) for t, cuts in examples[len(examples) // 2 :]]
+    right = sum((c.end in cuts) == tag for f, cuts in found for c, tag in zip(f, model.decode(f)))
+    assert right >= 0.97 * sum(len(f) for f, _ in found)
+    assert any(k.startswith(("BB", "BI", "IB", "II")) for k in model.weights)
+
+
+def test_sentences_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "«Где дом? Там дом!» — спросил Иван. Mr. A. B. Stone said... a.b.c. " * n + "a." * n + "\"Yes.\" " * n
+        begun = time.perf_counter()
+        sentences.split_text(text)
+        return time.perf_counter() - begun
+
+    sentences.model()
+    seconds(50)
+    assert seconds(4000) < 12 * max(seconds(500), 0.02)
 
 
 @pytest.mark.parametrize(
