@@ -10,6 +10,7 @@ import html.parser
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -146,8 +147,35 @@ def zip_ratio(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def murmur3(words: pd.Series) -> pd.Series:
-    """MurmurHash3 x86 32-bit, seed 0, signed, of the UTF-8 bytes."""
-    return words.map(lambda w: None if w is None else murmur3_32(w.encode("utf-8")))
+    """MurmurHash3 x86 32-bit, seed 0, signed, of the UTF-8 bytes; words of the same length are hashed together."""
+    data = [w.encode("utf-8") if w is not None else None for w in words]
+    out = np.zeros(len(data), dtype=np.int64)
+    lengths = np.array([-1 if b is None else len(b) for b in data])
+    for length in np.unique(lengths[lengths >= 0]):
+        rows = np.flatnonzero(lengths == length)
+        raw = np.frombuffer(b"".join(data[k] for k in rows), dtype=np.uint8).reshape(len(rows), length)
+        out[rows] = _murmur3_rows(raw)
+    return pd.Series(out, dtype="Int32").mask(pd.Series(lengths < 0))
+
+
+def _murmur3_rows(raw: np.ndarray) -> np.ndarray:
+    """Signed hash of each row of bytes."""
+    n, length = raw.shape
+    low = np.uint64(0xFFFFFFFF)
+    turn = lambda x, k: ((x << np.uint64(k)) | (x >> np.uint64(32 - k))) & low
+    scramble = lambda k: (turn((k * np.uint64(0xCC9E2D51)) & low, 15) * np.uint64(0x1B873593)) & low
+    h = np.zeros(n, dtype=np.uint64)
+    whole = length // 4 * 4
+    for at in range(0, length, 4):
+        part = raw[:, at : min(at + 4, length)].astype(np.uint64)
+        k = sum(part[:, j] << np.uint64(8 * j) for j in range(part.shape[1]))
+        h ^= scramble(k)
+        if at < whole:
+            h = (turn(h, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & low
+    h ^= np.uint64(length)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = ((h ^ (h >> np.uint64(shift))) * np.uint64(factor)) & low
+    return (h ^ (h >> np.uint64(16))).astype(np.uint32).view(np.int32).astype(np.int64)
 
 
 def murmur3_32(data: bytes, seed: int = 0) -> int:
@@ -200,132 +228,6 @@ def guess_language(words: Column, fallback: str = "ru") -> Column:
     return let(words, best)
 
 
-_STEPS = (
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script\b.*?</script>", " "),
-    (r"(?is)<style\b.*?</style>", " "),
-    (r"(?is)<head\b.*?</head>", " "),
-    (r"(?is)<title\b.*?</title>", " "),
-    (r"(?s)<[^<>]*>", " "),
-    (r"&nbsp;", " "),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;", '"'),
-    (r"&amp;", "&"),
-    (r"[ \t\r\n]+", " "),
-)
-
-
-def visible_text(col, keep_head: bool = False) -> Column:
-    """Visible text of a page: comments, script, style and (by default) head and title go, tags become blanks."""
-    out = F.col(col) if isinstance(col, str) else col
-    for pattern, by in HTML_STEPS:
-        if not (keep_head and ("head" in pattern or "title" in pattern)):
-            out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
-
-
-def visible_text_sql(col: str) -> str:
-    out = col
-    for pattern, by in HTML_STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
-    return f"trim({out})"
-
-
-class _Streaming(html.parser.HTMLParser):
-    """Text with line breaks: p gives a blank line, br a break, a closed br a blank line; script and style text stays."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-
-    def handle_data(self, data):
-        data = re.sub(r"[ \t\r\n]+", " ", data.strip())
-        if data:
-            self.out.append(data + " ")
-
-    def handle_starttag(self, tag, attrs):
-        self.out.append({"p": "\n\n", "br": "\n"}.get(tag, ""))
-
-    def handle_startendtag(self, tag, attrs):
-        if tag == "br":
-            self.out.append("\n\n")
-
-
-@F.pandas_udf(T.StringType())
-def streamed_text(pages: pd.Series) -> pd.Series:
-    """Text of HTML by a streaming parser; unclosed mark-up is taken as it is."""
-
-    def one(page):
-        if page is None:
-            return None
-        parser = _Streaming()
-        parser.feed(page)
-        parser.close()
-        return "".join(parser.out).strip()
-
-    return pages.map(one)
-
-
-@F.pandas_udf(T.DoubleType())
-def zip_ratio(texts: pd.Series) -> pd.Series:
-    """Length of the text in UTF-8 over its zlib length at level 9; null for null, 0 for empty."""
-    return texts.map(lambda t: None if t is None else round(len(b) / len(zlib.compress(b, 9)), 6) if (b := t.encode("utf-8", "replace")) else 0.0)
-
-
-@F.pandas_udf(T.IntegerType())
-def murmur3(words: pd.Series) -> pd.Series:
-    """MurmurHash3 x86 32-bit, seed 0, signed, of the UTF-8 bytes."""
-    return words.map(lambda w: None if w is None else murmur3_32(w.encode("utf-8")))
-
-
-def murmur3_32(data: bytes, seed: int = 0) -> int:
-    mask, h = 0xFFFFFFFF, seed
-
-    def scramble(k: int) -> int:
-        k = k * 0xCC9E2D51 & mask
-        return (k << 15 | k >> 17) * 0x1B873593 & mask
-
-    whole = len(data) // 4 * 4
-    for at in range(0, whole, 4):
-        h ^= scramble(int.from_bytes(data[at : at + 4], "little"))
-        h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & mask
-    if whole < len(data):
-        h ^= scramble(int.from_bytes(data[whole:], "little"))
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
-
-
-def md5_hash(col: Column) -> Column:
-    """Unsigned 32-bit hash that SQL engines can reproduce: the first eight hex digits of md5."""
-    return F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("bigint")
-
-
-#: Frequent words by language, for the fallback language guess.
-STOP_WORDS = {
-    "en": "the a of and to in is that it for with as on every this",
-    "ru": "и в не на что с по а но как из у за от для до без около",
-    "uk": "і й та не на що з по а але як із у за від для до без навколо",
-    "de": "der die das und in den von zu mit dem ein eine ist nicht hinter",
-    "fr": "le la les et de des un une du dans pour avec sur est sous",
-    "es": "el la los y de que un una en con por para del sin sobre",
-}
-
-
-def guess_language(words: Column, fallback: str = "ru") -> Column:
-    """Language whose stop words make up the most tokens; ``fallback`` where none occurs. Ties go to the first listed."""
-    count = lambda stop: F.size(F.filter(words, lambda w: w.isin(stop.split())))
-    scores = [count(stop) for stop in STOP_WORDS.values()]
-    best = F.greatest(*scores)
-    out = F.when(words.isNull() | (best == 0), F.lit(fallback))
-    for lang, score in zip(STOP_WORDS, scores):
-        out = out.when(score == best, F.lit(lang))
-    return out
-
-
 _STEPS = (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", ""))
 _STEP2 = dict(
     zip(

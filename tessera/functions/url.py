@@ -24,13 +24,15 @@ def url_features(urls: DataFrame, key: str = "rec_id", col: str = "url", lower:
     """``key, feature``: one row per feature a url has, repeated ones too.
 
     The path is decoded before it is split; empty segments are skipped and don't count in the index. A url
-    without path has zero segments; null urls and urls that can't be decoded have no row.
+    without path has zero segments; null urls and urls that can't be decoded have no row. With ``lower`` names,
+    extensions and parameters are lower-cased. Digits and letters of the patterns are those of ASCII. A pair of round
+    brackets anywhere but at the start counts as one at the end.
     """
     u = F.col(col)
     raw_path, raw_query = path_of(u), query_of(u)
     base = urls.select(F.col(key).alias("key"), raw_path.alias("raw_path"), raw_query.alias("raw_query"), unquoted(raw_path).alias("path"), unquoted(raw_query).alias("query")).filter("path is not null and query is not null")
     base = base.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != ""))
-    return base.select("key", F.explode(F.concat(_whole(), _segments(lower), _parameters())).alias("feature"))
+    return base.select("key", F.explode(F.concat(_whole(), _segments(lower), _parameters(lower))).alias("feature"))
 
 
 def _if(condition: Column, *values: Column) -> Column:
@@ -38,10 +40,14 @@ def _if(condition: Column, *values: Column) -> Column:
     return F.when(condition, F.array(*values)).otherwise(F.array().cast("array<string>"))
 
 
+NUMERIC = r"^(?:[0-9]+$|[0-9]+\.)"
+SYMBOL = r"[-,;:@_\s]"
+
+
 def _whole() -> Column:
     path, query, segments = F.col("path"), F.col("query"), F.col("segments")
     year = F.regexp_extract(path, r"^.+/(20[0-9][0-9])/", 1)
-    numeric = F.size(F.filter(segments, lambda s: s.rlike(r"^(?:[0-9]+$|[0-9]+\.)")))
+    numeric = F.size(F.filter(segments, lambda s: s.rlike(NUMERIC)))
     return F.concat(
         F.array(F.concat(F.lit("segments:"), F.size(segments)), F.concat(F.lit("url_cnt_digit_segments:"), numeric)),
         _if((path != F.col("raw_path")) | (query != F.col("raw_query")), F.lit("url_was_encoded:1")),
@@ -53,37 +59,49 @@ def _whole() -> Column:
 
 def _segments(lower: bool) -> Column:
     def one(s: Column, i: Column) -> Column:
-        name = F.lower(s) if lower else s
-        f = lambda label, value=None: F.concat(F.lit(f"{label}_"), i.cast("string"), F.lit(":"), value if value is not None else F.lit("1"))
-        ext = F.regexp_extract(s, r"^.+\.(.+)", 1)
-        special = F.regexp_extract_all(s, F.lit(r"([-,;:@_\s])"), F.lit(1))
-        letters = F.regexp_replace(s, r"\P{L}", "")
+        low = lambda c: F.lower(c) if lower else c
+        f = lambda label, value=None: F.concat(F.lit(label), i.cast("string"), F.lit(":"), value if value is not None else F.lit("1"))
+        ext = low(F.regexp_extract(s, r"^.+\.(.+)", 1))
+        sign_ext = low(F.regexp_extract(s, r"^[^0-9]+[0-9]+[^0-9]+\.([^0-9A-Za-z_]+)", 1))
+        symbols = F.regexp_extract_all(s, F.lit(f"({SYMBOL})"), F.lit(1))
+        bracketed, first = s.rlike(r"\(.*\)"), s.rlike(r"^\(.*\)")
         return F.concat(
-            F.array(f("segment_name", name), f("segment_len", F.char_length(s).cast("string"))),
-            _if(s.rlike(r"^(?:[0-9]+$|[0-9]+\.)"), f("segment_[0-9]")),
-            _if(s.rlike(r"^[^0-9]+[0-9]+[^0-9]+$"), f("segment_substr[0-9]")),
-            _if(s.rlike(r"^[0-9]"), f("segment_digits_in_begin")),
-            _if(s.rlike(r"[0-9]$"), f("segment_digits_in_end")),
-            _if((letters != "") & (letters == s) & (letters != F.lower(letters)), f("segment_not_lower")),
-            _if(ext != "", f("segment_ext", ext), F.lit("segment_ext_exist:1"), F.concat(F.lit("segment_ext:"), ext)),
-            _if(s.rlike(r"^[(\[{]"), f("segment_bracket_begin")),
-            _if(s.rlike(r"[)\]}]$"), f("segment_bracket_end")),
-            _if(s.rlike(r"^.+[()\[\]{}].+$"), f("segment_bracket_inside")),
-            _if(F.size(special) > 7, F.lit("segment_special_many:1")),
-            _if(F.size(special) > 0, f("segment_special")),
-            F.transform(F.array_distinct(special), lambda c: F.concat(F.lit("segment_symbol_"), c, F.lit(":"), F.size(F.filter(special, lambda d: d == c)).cast("string"))),
-            _if(s.contains(":"), f("segment_before_:", F.regexp_extract(s, r"^(.*):", 1))),
+            F.array(f("segment_name_", low(s)), f("segment_len_", F.char_length(s).cast("string"))),
+            _if(s.rlike(NUMERIC), f("segment_[0-9]_")),
+            _if(s.rlike(r"^[^0-9]+[0-9]+[^0-9]+$"), f("segment_substr[0-9]_")),
+            _if(s.rlike(r"^[0-9]+[^0-9]"), f("segment_digits_in_begin_")),
+            _if(s.rlike(r"[^0-9][0-9]+(?:\.[0-9A-Za-z_]+)?$"), f("segment_digits_in_end_")),
+            _if(s.rlike(r"^[a-zA-Z]+$") & (s != F.lower(s)), f("segment_not_lower_")),
+            _if(ext != "", f("segment_ext_", ext), F.lit("segment_ext_exist:"), F.concat(F.lit("segment_ext:"), ext)),
+            _if(sign_ext != "", f("segment_ext_substr[0-9]_", sign_ext)),
+            _if(first, f("segment_include_brackets_in_begin")),
+            _if(bracketed & ~first, f("segment_include_brackets_in_end")),
+            _if(F.size(symbols) > 7, f("segment_many_special_symbol_", F.size(symbols).cast("string"))),
+            F.flatten(
+                F.transform(
+                    F.array_distinct(symbols),
+                    lambda c: F.array(
+                        f("segment_special_symbol_"),
+                        F.concat(F.lit("segment_special_symbol_"), c, F.lit(":1")),
+                        F.concat(F.lit("segment_include_cnt_special_symbol_"), c, F.lit(":"), F.size(F.filter(symbols, lambda d: d == c)).cast("string")),
+                    ),
+                )
+            ),
+            _if(s.contains(":"), f("segment_before_:_", F.regexp_extract(s, r"^(.*):", 1))),
         )
 
     return F.flatten(F.transform("segments", one))
 
 
-def _parameters() -> Column:
+def _parameters(lower: bool) -> Column:
+    low = lambda c: F.lower(c) if lower else c
+
     def one(p: Column) -> Column:
         pair = p.rlike(r"^.+=.+")
-        return F.when(pair, F.array(F.concat(F.lit("param_name:"), F.regexp_extract(p, r"^(.+)=(.+)", 1)), F.concat(F.lit("param:"), p))).otherwise(F.array(F.concat(F.lit("param_name:"), p)))
+        return F.when(pair, F.array(F.concat(F.lit("param_name:"), low(F.regexp_extract(p, r"^(.+)=(.+)", 1))), F.concat(F.lit("param:"), low(p)))).otherwise(F.array(F.concat(F.lit("param_name:"), p)))
 
-    return F.when(F.col("query") == "", F.array(F.lit("not_param:1"))).otherwise(F.concat(F.array(F.lit("url_include_param:1")), F.flatten(F.transform(F.split("query", "&"), one))))
+    parts = F.filter(F.split("query", "&"), lambda p: p != "")
+    return F.when(F.col("query") == "", F.array(F.lit("not_param:"))).otherwise(F.concat(F.array(F.lit("url_include_param:1")), F.flatten(F.transform(parts, one))))
 
 
 def feature_counts(features: DataFrame) -> DataFrame:

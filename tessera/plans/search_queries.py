@@ -203,43 +203,56 @@ _URLS = r"""
     v as (select rec_id, rp, rq, url_decode(replace(rp, '+', '%2B')) p, url_decode(replace(rq, '+', '%2B')) q from u),
     x as (select *, list_filter(string_split(p, '/'), lambda s: s <> '') segs from v),
     sg as (select rec_id, unnest(segs) s, unnest(range(0, len(segs))) i from x),
-    pm as (select rec_id, unnest(string_split(q, '&')) m from v where q <> ''),
+    ex as (select *, regexp_extract(s, '^.+\.(.+)', 1) e, regexp_extract(s, '^[^0-9]+[0-9]+[^0-9]+\.([^0-9A-Za-z_]+)', 1) se from sg),
+    sy as (select *, regexp_extract_all(s, '[-,;:@_\s]') y from sg),
+    sc as (select rec_id, i, c, len(list_filter(y, lambda z: z = c)) n from (select rec_id, i, y, unnest(list_distinct(y)) c from sy)),
+    pm as (select rec_id, m from (select rec_id, unnest(string_split(q, '&')) m from v where q <> '') where m <> ''),
     f as (
         select rec_id, 'segments:' || len(segs) feature from x
         union all select rec_id, 'segment_name_' || i || ':' || lower(s) from sg
         union all select rec_id, 'segment_len_' || i || ':' || length(s) from sg
         union all select rec_id, 'segment_[0-9]_' || i || ':1' from sg where regexp_matches(s, '^(?:[0-9]+$|[0-9]+\.)')
         union all select rec_id, 'segment_substr[0-9]_' || i || ':1' from sg where regexp_matches(s, '^[^0-9]+[0-9]+[^0-9]+$')
-        union all select rec_id, 'segment_digits_in_begin_' || i || ':1' from sg where regexp_matches(s, '^[0-9]')
-        union all select rec_id, 'segment_digits_in_end_' || i || ':1' from sg where regexp_matches(s, '[0-9]$')
-        union all select rec_id, 'segment_ext_' || i || ':' || regexp_extract(s, '^.+\.(.+)', 1) from sg where regexp_extract(s, '^.+\.(.+)', 1) <> ''
-        union all select rec_id, case when regexp_matches(m, '^.+=.+') then 'param_name:' || regexp_extract(m, '^(.+)=(.+)', 1) else 'param_name:' || m end from pm
-        union all select rec_id, 'param:' || m from pm where regexp_matches(m, '^.+=.+')
+        union all select rec_id, 'segment_digits_in_begin_' || i || ':1' from sg where regexp_matches(s, '^[0-9]+[^0-9]')
+        union all select rec_id, 'segment_digits_in_end_' || i || ':1' from sg where regexp_matches(s, '[^0-9][0-9]+(\.[0-9A-Za-z_]+)?$')
+        union all select rec_id, 'segment_not_lower_' || i || ':1' from sg where regexp_matches(s, '^[a-zA-Z]+$') and s <> lower(s)
+        union all select rec_id, 'segment_ext_' || i || ':' || lower(e) from ex where e <> ''
+        union all select rec_id, 'segment_ext_exist:' from ex where e <> ''
+        union all select rec_id, 'segment_ext:' || lower(e) from ex where e <> ''
+        union all select rec_id, 'segment_ext_substr[0-9]_' || i || ':' || lower(se) from ex where se <> ''
+        union all select rec_id, 'segment_include_brackets_in_begin' || i || ':1' from sg where regexp_matches(s, '^\(.*\)')
+        union all select rec_id, 'segment_include_brackets_in_end' || i || ':1' from sg where regexp_matches(s, '\(.*\)') and not regexp_matches(s, '^\(.*\)')
+        union all select rec_id, 'segment_many_special_symbol_' || i || ':' || len(y) from sy where len(y) > 7
+        union all select rec_id, 'segment_special_symbol_' || i || ':1' from sc
+        union all select rec_id, 'segment_special_symbol_' || c || ':1' from sc
+        union all select rec_id, 'segment_include_cnt_special_symbol_' || c || ':' || n from sc
+        union all select rec_id, 'segment_before_:_' || i || ':' || regexp_extract(s, '^(.*):', 1) from sg where contains(s, ':')
+        union all select rec_id, case when regexp_matches(m, '^.+=.+') then 'param_name:' || lower(regexp_extract(m, '^(.+)=(.+)', 1)) else 'param_name:' || m end from pm
+        union all select rec_id, 'param:' || lower(m) from pm where regexp_matches(m, '^.+=.+')
+        union all select rec_id, 'url_data_large_2010_:1' from v where regexp_extract(p, '^.+/(20[0-9][0-9])/', 1) >= '2010'
+        union all select rec_id, 'data_in_url_path:1' from v where regexp_matches(p, '^.+/20[0-9][0-9]/') and regexp_matches(p, '^.+/[0-9][0-9]/[0-9][0-9]/?')
         union all select rec_id, 'url_include_param:1' from v where q <> ''
-        union all select rec_id, 'not_param:1' from v where q = ''
+        union all select rec_id, 'not_param:' from v where q = ''
         union all select rec_id, 'url_last_symbols_/:1' from v where ends_with(p, '/')
         union all select rec_id, 'url_was_encoded:1' from v where p <> rp or q <> rq
         union all select rec_id, 'url_cnt_digit_segments:' || len(list_filter(segs, lambda s: regexp_matches(s, '^(?:[0-9]+$|[0-9]+\.)'))) from x
     )"""
-_COMPARED = r"^(segments:|segment_name_|segment_len_|segment_\[0-9\]_|segment_substr|segment_digits|segment_ext_[0-9]|param|url_include|not_param|url_last|url_was|url_cnt)"
-
-
 @query("url_feature_counts", f"with {_URLS} select feature, count(*) n from f group by 1")
 def url_feature_counts(spark, d):
-    """The features that SQL reproduces, with their counts."""
-    return url.feature_counts(_features(spark, d).filter(F.col("feature").rlike(_COMPARED)))
+    """Every feature with its count."""
+    return url.feature_counts(_features(spark, d))
 
 
-@query("url_features_all")
+@query("url_features_all", f"with {_URLS} select rec_id as key, feature, count(*) n from f group by 1, 2")
 def url_features_all(spark, d):
-    """Counts of all features: brackets, special symbols, dates and prefixes included."""
-    return url.feature_counts(_features(spark, d))
+    """The features of every url, repeated ones with their number."""
+    return _features(spark, d).groupBy("key", "feature").agg(F.count("*").alias("n"))
 
 
 @query("url_feature_support", f"with {_URLS}, c as (select feature, count(*) n from f group by 1), t as (select 0.035 * count(*) b, count(*) q from crawl_document) select feature, n from c, t where n > b and n <= 2 * q - b or contains(feature, 'segments:')")
 def url_feature_support(spark, d):
     rows = _crawl(spark, d, "url")
-    counts = url.feature_counts(url.url_features(rows).filter(F.col("feature").rlike(_COMPARED)))
+    counts = url.feature_counts(url.url_features(rows))
     return url.supported(counts, rows.count())
 
 
@@ -249,7 +262,7 @@ def url_feature_support(spark, d):
 def feature_recall(spark, d):
     """How well the frequent features of half the urls (even ids) reproduce those of all of them."""
     rows = materialize(_crawl(spark, d, "url"), "urls")
-    frequent = lambda part: url.feature_counts(url.url_features(part).filter(F.col("feature").rlike(_COMPARED))).filter(F.col("n") > 0.01 * part.count()).select("feature")
+    frequent = lambda part: url.feature_counts(url.url_features(part)).filter(F.col("n") > 0.01 * part.count()).select("feature")
     golden, found = frequent(rows), frequent(rows.filter("rec_id % 2 = 0")).withColumn("hit", F.lit(1))
     both = golden.join(found, "feature", "left").agg(F.count("hit").alias("hit"), F.count("*").alias("n"))
     return both.select(F.round(F.col("hit") / F.col("n"), 6).alias("recall"), F.round(F.lit(found.count()) / F.col("n"), 6).alias("size_ratio"))
@@ -315,8 +328,8 @@ def page_stats(spark, d):
 
 @query("murmur_terms")
 def murmur_terms(spark, d):
-    """MurmurHash3 of every distinct term."""
-    return index.doc_terms(_docs(spark, d)).select("term").distinct().select("term", F.abs(text.murmur3("term")).alias("hash"))
+    """MurmurHash3 of every distinct term, signed, and the non-negative key made of it."""
+    return index.doc_terms(_docs(spark, d)).select("term").distinct().select("term", text.murmur3("term").alias("hash")).withColumn("term_key", F.abs("hash"))
 
 
 @query("stemmed_terms")
