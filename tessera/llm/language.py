@@ -31,6 +31,8 @@ BUCKETS = 1 << 17
 #: Mean probability that the first round must give a query's label for the query to train the second.
 TRUSTED = 0.6
 MIN_SEGMENT_WORDS = 3
+#: Words of each run where a query changes its language more than once, and what a change costs.
+MIN_RUN_WORDS, SWITCH = 2, 1.2
 #: Mean probability that each side of a mixed query must reach.
 SEGMENT_CONFIDENCE = 0.8
 #: The same where a separator stands between the sides.
@@ -78,14 +80,11 @@ def words(query: str) -> list[tuple[str, int, int]]:
 
 
 def _hash(feature: str) -> int:
-    return crc32(feature.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1  # 0 is padding
-
-
-FEATURES = 24
+    return crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def word_features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Hashed features of one word, at most ``FEATURES``."""
+    """Hashed features of one word, all of its trigrams included."""
     low = word.lower().replace("’", "'")
     padded = f"^{low}$"
     out = [f"w={low}"] + [f"p{n}={low[:n]}" for n in (1, 2, 3) if len(low) >= n] + [f"s{n}={low[-n:]}" for n in (1, 2, 3, 4) if len(low) >= n]
@@ -98,21 +97,36 @@ def word_features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
     if word[:1].isupper():
         out.append("cap")
     out += [f"g={padded[k : k + 3]}" for k in range(len(padded) - 2)]
-    return [_hash(x) for x in out[:FEATURES]]
+    return [_hash(x) for x in out]
+
+
+class Encoded:
+    """Features of the words of some sequences, one after another: ``flat`` features, ``counts`` of each word, and each word's ``row`` and ``step``."""
+
+    def __init__(self, sequences: list[list[str]], lexicon):
+        cache: dict[str, np.ndarray] = {}
+        found = []
+        for sequence in sequences:
+            for word in sequence:
+                if word not in cache:
+                    cache[word] = np.array(word_features(word, lexicon), dtype=np.int64)
+                found.append(cache[word])
+        self.length = np.array([len(s) for s in sequences], dtype=np.int64)
+        self.counts = np.array([len(x) for x in found], dtype=np.int64)
+        self.flat = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+        self.row = np.repeat(np.arange(len(sequences)), self.length)
+        self.step = np.arange(len(found)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
 
+    def scores(self, emit: np.ndarray) -> np.ndarray:
+        """Summed weights [sequence, word, language], 0 beyond a sequence's end."""
+        out = np.zeros((len(self.length), max(1, int(self.length.max(initial=1))), emit.shape[1]))
+        if len(self.flat):
+            out[self.row, self.step] = np.add.reduceat(emit[self.flat], np.cumsum(self.counts) - self.counts, axis=0)
+        return out
 
-def encode(sequences: list[list[str]], lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(features [sequence, word, feature] padded with 0, lengths)."""
-    length = np.array([len(s) for s in sequences], dtype=np.int64)
-    x = np.zeros((len(sequences), max(1, int(length.max(initial=1))), FEATURES), dtype=np.int64)
-    cache: dict[str, list[int]] = {}
-    for k, sequence in enumerate(sequences):
-        for t, word in enumerate(sequence):
-            found = cache.get(word)
-            if found is None:
-                found = cache[word] = word_features(word, lexicon)
-            x[k, t, : len(found)] = found
-    return x, length
+
+def encode(sequences: list[list[str]], lexicon) -> Encoded:
+    return Encoded(sequences, lexicon)
 
 
 #: A word's script rules languages out, except that capitalised Latin words may be names in any text; these weights aren't trained.
@@ -131,12 +145,11 @@ class Crf:
         for bucket, row in FIXED.items():
             self.emit[bucket] = row
 
-    def marginals(self, x: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, x: Encoded) -> tuple[np.ndarray, np.ndarray]:
         """(word marginals [sequence, word, language], expected transitions summed over all words)."""
-        score = self.emit[x].sum(axis=2).astype(np.float64)
+        score = x.scores(self.emit)
         size, steps, n = score.shape
-        alive = np.arange(steps)[None, :] < length[:, None]
-        score[~alive] = 0.0
+        alive = np.arange(steps)[None, :] < x.length[:, None]
         ahead, back = np.zeros_like(score), np.zeros_like(score)
         ahead[:, 0] = score[:, 0]
         for t in range(1, steps):
@@ -162,21 +175,19 @@ class Crf:
             shuffled = order.permutation(len(sequences))
             for at in range(0, len(shuffled), batch):
                 part = shuffled[at : at + batch]
-                x, length = encode([sequences[k] for k in part], self.lexicon)
-                steps = x.shape[1]
+                x = encode([sequences[k] for k in part], self.lexicon)
+                steps = max(1, int(x.length.max(initial=1)))
                 gold = np.zeros((len(part), steps, len(LANGUAGES)))
                 moves = np.zeros_like(self.move)
                 for row, k in enumerate(part):
                     y = labels[k]
                     gold[row, np.arange(len(y)), y] = 1
                     np.add.at(moves, (y[:-1], y[1:]), 1)
-                expected, expected_moves = self.marginals(x, length)
+                expected, expected_moves = self.marginals(x)
                 change = (gold - expected).astype(np.float32)
-                flat = x.reshape(-1)
-                per = np.repeat(change.reshape(-1, len(LANGUAGES)), FEATURES, axis=0)
-                used, where = np.unique(flat, return_inverse=True)
+                per = np.repeat(change[x.row, x.step], x.counts, axis=0)
+                used, where = np.unique(x.flat, return_inverse=True)
                 grad = np.stack([np.bincount(where, per[:, c], minlength=len(used)) for c in range(len(LANGUAGES))], axis=1)
-                grad[used == 0] = 0
                 seen_e[used] += (grad**2).max(axis=1)
                 self.emit[used] += (rate * grad / np.sqrt(seen_e[used])[:, None]).astype(np.float32)
                 self._fix()
@@ -188,9 +199,9 @@ class Crf:
         """Word marginals of each sequence."""
         if not sequences:
             return []
-        x, length = encode(sequences, self.lexicon)
-        found, _ = self.marginals(x, length)
-        return [found[k, :n] for k, n in enumerate(length)]
+        x = encode(sequences, self.lexicon)
+        found, _ = self.marginals(x)
+        return [found[k, :n] for k, n in enumerate(x.length)]
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -301,14 +312,52 @@ def segments(found: list[tuple[str, int, int]], marginals: np.ndarray) -> list[t
     return out
 
 
+def best_runs(marginals: np.ndarray, switch: float) -> list[tuple[int, int, int]]:
+    """(language, first word, word after) of the runs with the largest sum of marginals, less ``switch`` for each change of language."""
+    n, size = marginals.shape
+    best, back = marginals[0].copy(), []
+    for t in range(1, n):
+        top = int(best.argmax())
+        stay = best >= best[top] - switch
+        back.append(np.where(stay, np.arange(size), top))
+        best = np.where(stay, best, best[top] - switch) + marginals[t]
+    tags = [int(best.argmax())]
+    for come in reversed(back):
+        tags.append(int(come[tags[-1]]))
+    tags.reverse()
+    cuts = [0, *(k for k in range(1, n) if tags[k] != tags[k - 1]), n]
+    return [(tags[a], a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def _several(found, marginals: np.ndarray) -> list[tuple[str, int, int, float]]:
+    """Three and more runs of words, such as a language within another one; empty unless all of them are sure."""
+    runs = best_runs(marginals, SWITCH)
+    out = [(LANGUAGES[k], a, b, float(marginals[a:b, k].mean())) for k, a, b in runs]
+    sure = all(p >= SEGMENT_CONFIDENCE and b - a >= MIN_RUN_WORDS for _, a, b, p in out)
+    return out if len(out) > 2 and sure else []
+
+
+def answers(report: list[tuple[str, int, int, float]]) -> set[str]:
+    """The languages that a query is reported to hold: those with enough words in all of its runs, else the one with the most."""
+    words: dict[str, int] = {}
+    for lang, a, b, _ in report:
+        words[lang] = words.get(lang, 0) + b - a
+    enough = {lang for lang, n in words.items() if n >= MIN_SEGMENT_WORDS}
+    return enough if len(enough) > 1 else {max(words, key=words.__getitem__)}
+
+
 def decide(found, marginals: np.ndarray, text: str = "") -> tuple[list[tuple[str, int, int, float]], bool]:
     """(segments to report as (language, first word, word after, confidence), whether the query is mixed)."""
     runs = segments(found, marginals)
+    if len(runs) > 2:
+        several = _several(found, marginals)
+        if several:
+            return several, len(answers(several)) > 1
     if len(runs) > 1:
         best = None
         total = np.concatenate([np.zeros((1, len(LANGUAGES))), np.cumsum(marginals, axis=0)])
         n = len(found)
-        for cut in range(MIN_SEGMENT_WORDS, n - MIN_SEGMENT_WORDS + 1):  # a mixed query is one language and then another
+        for cut in range(MIN_SEGMENT_WORDS, n - MIN_SEGMENT_WORDS + 1):  # one language and then another
             left, right = total[cut] / cut, (total[n] - total[cut]) / (n - cut)
             a, b = int(left.argmax()), int(right.argmax())
             if a != b:
@@ -341,7 +390,10 @@ def _by_separator(model: Crf, found, text: str, report):
 
 
 def fit(documents: DataFrame, queries: DataFrame) -> Crf:
-    """Train on a bounded sample: the rows with the smallest hashes of their ids, so any run gets the same."""
+    """Train on a bounded sample: the rows with the smallest hashes of their ids, so any run gets the same.
+
+    Of a text, the first 2 000 characters, 40 sentences and 14 words of a sentence train the model; that bounds the fit only.
+    """
     texts: list[tuple[str, str]] = []
     for lang in LANGUAGES:
         rows = documents.filter((F.col("lang") == lang) & F.col("text").isNotNull()).select(F.substring("text", 1, 2_000).alias("text"), "doc_id")
@@ -351,7 +403,7 @@ def fit(documents: DataFrame, queries: DataFrame) -> Crf:
 
 
 def _rows(model: Crf, batch: pa.RecordBatch) -> list[tuple]:
-    """(id, segment, start, end, language, confidence, mixed, label language) of the batch's queries."""
+    """(id, segment, start, end, language, confidence, mixed, answer, label language) of the batch's queries."""
     ids, texts, labels = (batch.column(k).to_pylist() for k in range(3))
     meant = [readings(model, q or "") for q in texts]
     found = [words(q) for q in meant]
@@ -363,17 +415,20 @@ def _rows(model: Crf, batch: pa.RecordBatch) -> list[tuple]:
             report, mixed = decide(found[k], p, meant[k])
             if not mixed:
                 report, mixed = _by_separator(model, found[k], meant[k], report)
+            open_answers = answers(report)
             for n, (lang, a, b, confidence) in enumerate(report):
-                out.append((ids[k], n, found[k][a][1] + 1, found[k][b - 1][2], lang, round(confidence, 6), mixed, normal_label(labels[k])))
+                out.append((ids[k], n, found[k][a][1] + 1, found[k][b - 1][2], lang, round(confidence, 6), mixed, lang in open_answers, normal_label(labels[k])))
+                open_answers.discard(lang)  # the first run of a language speaks for it
     return out
 
 
-SCHEMA = "query_id bigint, segment int, start_pos bigint, end_pos bigint, lang string, confidence double, mixed boolean, label string"
+SCHEMA = "query_id bigint, segment int, start_pos bigint, end_pos bigint, lang string, confidence double, mixed boolean, answer boolean, label string"
 
 
 def languages(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per query and segment: positions of the segment in the query as meant, language, confidence,
-    whether the query is mixed, and the language its label names.
+    whether the query is mixed, whether the row is the first of a language that the query holds with enough words
+    (``answer``), and the language its label names.
 
     Queries without a word (null, empty, numbers, codes, addresses, marks) give no row; repeated rows give
     theirs each. ``documents`` (doc_id, text, lang) and the labelled queries train the model.
@@ -381,7 +436,7 @@ def languages(queries: DataFrame, documents: DataFrame) -> DataFrame:
     model = queries.sparkSession.sparkContext.broadcast(fit(documents, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.string()]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.string()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
             columns = list(zip(*_rows(model.value, batch))) or [[]] * len(types)
@@ -397,7 +452,7 @@ def _inputs(spark, sf_dir):
 def p3_found(spark, sf_dir):
     """Queries whose label is missing or wrong with their language, and both languages of mixed ones."""
     found = languages(*_inputs(spark, sf_dir))
-    return found.filter("mixed or label is null or label <> lang").select("query_id", "lang")
+    return found.filter("answer and (mixed or label is null or label <> lang)").select("query_id", "lang")
 
 
 def p3_segments(spark, sf_dir):

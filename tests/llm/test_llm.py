@@ -159,9 +159,9 @@ def test_crf_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     model.emit = rng.normal(size=model.emit.shape).astype(np.float32) * 0.3
     model.move = rng.normal(size=(6, 6))
-    x, length = language.encode([["a", "b", "c"], ["d"]], {})
-    got, _ = model.marginals(x, length)
-    score = model.emit[x[0]].sum(axis=1)
+    x = language.encode([["a", "b", "c"], ["d"]], {})
+    got, _ = model.marginals(x)
+    score = x.scores(model.emit)[0]
     total = np.zeros((3, 6))
     for path in itertools.product(range(6), repeat=3):
         p = np.exp(sum(score[t, y] for t, y in enumerate(path)) + model.move[path[0], path[1]] + model.move[path[1], path[2]])
@@ -171,6 +171,16 @@ def test_crf_marginals_match_enumeration():
     assert np.allclose(got[1, 1:], 0)
 
 
+def test_runs_of_more_than_two_segments():
+    rows = {"ru": [1, 0, 0, 0, 0, 0], "en": [0, 1, 0, 0, 0, 0]}
+    sure = np.array([rows["ru"]] * 3 + [rows["en"]] * 3 + [rows["ru"]] * 2, dtype=float)
+    found = [(w, 2 * k, 2 * k + 1) for k, w in enumerate("и и и a b c и и".split())]
+    report, mixed = language.decide(found, sure)
+    assert [(lang, a, b) for lang, a, b, _ in report] == [("ru", 0, 3), ("en", 3, 6), ("ru", 6, 8)] and mixed
+    assert language.answers(report) == {"ru", "en"} and language.answers(report[:1]) == {"ru"}
+    assert len(language.word_features("Donaudampfschifffahrtsgesellschaft", {})) > 40
+
+
 # ---- problem 5
 
 
