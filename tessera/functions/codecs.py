@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,27 +23,45 @@ def sums(values: list[int]) -> list[int]:
     return out
 
 
+#: Each group of seven bits mirrored into the upper bits of a byte, and back.
+_MIRROR = np.array([sum((g >> k & 1) << 7 - k for k in range(7)) for g in range(128)], dtype=np.uint8)
+_GROUP = np.zeros(256, dtype=np.int64)
+_GROUP[_MIRROR] = np.arange(128)
+_GROUP[_MIRROR | 1] = np.arange(128)
+
+
+def varbyte_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values one after another, number of bytes of each).
+
+    Each value in groups of seven bits, lowest first, mirrored into the byte's upper bits; the last bit marks the last group.
+    """
+    if len(values) and values.min() < 1:
+        raise ValueError("gaps must be positive")
+    n = np.ones(len(values), dtype=np.int64)
+    for bits in range(7, 63, 7):
+        n += values >= 1 << bits
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out = _MIRROR[np.repeat(values, n) >> 7 * at & 127]
+    out[np.cumsum(n) - 1] |= 1
+    return out, n
+
+
+def varbyte_values(data: np.ndarray) -> np.ndarray:
+    """The values of encoded bytes."""
+    last = data & 1 == 1
+    ends = np.flatnonzero(last)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = ends - starts + 1
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.add.reduceat(_GROUP[data[: len(at)]] << 7 * at, starts) if len(ends) else np.empty(0, dtype=np.int64)
+
+
 def varbyte_encode(values: list[int]) -> bytes:
-    """Each value in groups of seven bits, lowest first, mirrored into the byte's upper bits; the last bit marks the last group."""
-    out = bytearray()
-    for v in values:
-        if v < 1:
-            raise ValueError("gaps must be positive")
-        while v:
-            group, v = v & 127, v >> 7
-            out.append(int(f"{group:07b}"[::-1], 2) << 1 | (not v))
-    return bytes(out)
+    return varbyte_bytes(np.asarray(values, dtype=np.int64))[0].tobytes() if len(values) else b""
 
 
 def varbyte_decode(data: bytes) -> list[int]:
-    out, value, shift = [], 0, 0
-    for byte in data:
-        value |= int(f"{byte >> 1:07b}"[::-1], 2) << shift
-        shift += 7
-        if byte & 1:
-            out.append(value)
-            value = shift = 0
-    return out
+    return varbyte_values(np.frombuffer(data, dtype=np.uint8)).tolist()
 
 
 def simple9_encode(values: list[int]) -> bytes:
@@ -57,7 +76,7 @@ def simple9_encode(values: list[int]) -> bytes:
             out.extend(word.to_bytes(4, "little"))
             run.clear()
 
-    for v in values:
+    for v in map(int, values):
         if not 0 < v < 1 << 28:
             raise ValueError("gaps must be from 1 to 2^28 - 1")
         need = max(k for k, w in enumerate(WIDTHS) if v < 1 << w)
@@ -88,7 +107,7 @@ def encoder(codec: str):
 
     @F.pandas_udf(T.BinaryType())
     def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ids: None if ids is None else encode(gaps([int(i) for i in ids])))
+        return lists.map(lambda ids: None if ids is None else encode(np.diff(np.asarray(ids, dtype=np.int64), prepend=0)))
 
     return run
 
@@ -99,6 +118,6 @@ def decoder(codec: str):
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def run(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: None if b is None else sums(decode(bytes(b))))
+        return blobs.map(lambda b: None if b is None else np.cumsum(np.asarray(decode(bytes(b)), dtype=np.int64)))
 
     return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF
@@ -37,29 +39,41 @@ def segment_model(features: DataFrame, k: int = CLUSTERS, size: int = 1 << 12, s
 
 
 class Admission:
-    """Sequential decision for each url: fetch it or not, so that good clusters use the quota first."""
+    """Sequential decision for each url: fetch it or not, so that good clusters use the quota first.
+
+    Clusters stand in falling order of their ratio. The cluster whose turn it is is the first, from the last one on,
+    whose cumulative share (with ``SLACK``) covers the spent part of the quota and whose ratio doesn't exceed the
+    border; if more urls were tried than ``PATIENCE`` times its part of the quota, it is the one after. Its ratio is
+    the border that a url's cluster must reach. A new border starts the count of tries anew.
+    """
+
+    #: What a cumulative share may fall short by, and how many times its quota a cluster is waited for.
+    SLACK, PATIENCE = 0.01, 1.8
 
     def __init__(self, ratios: list[float], cum_shares: list[float], shares: list[float], quota: int):
-        self.ratios, self.cum, self.shares, self.quota = ratios, cum_shares, shares, quota
+        self.ratios, self.shares, self.quota = ratios, shares, quota
+        self._reach = [c + self.SLACK for c in cum_shares]
+        self._falling = [-r for r in ratios]
         self.used = self.tried = self.at = 0
         self.border = 1.0
 
+    def _turn(self) -> int:
+        """The cluster whose turn it is; the number of clusters if there is none."""
+        at = max(self.at, bisect_left(self._reach, self.used / self.quota), bisect_left(self._falling, -self.border))
+        waited = at < len(self.ratios) - 1 and self.tried > self.PATIENCE * self.quota * self.shares[at]
+        return at + waited
+
     def fetch(self, ratio: float) -> bool:
         """Whether a url of a cluster with this ratio is fetched; changes the state."""
         self.tried += 1
-        spent = self.used / self.quota
-        last = len(self.ratios) - 1
-        for i in range(self.at, last + 1):
-            if spent <= self.cum[i] + 0.01 and self.border >= self.ratios[i]:
-                if self.tried > 1.8 * self.quota * self.shares[i] and i != last:
-                    i += 1
-                if self.ratios[i] != self.border:
-                    self.border, self.tried, self.at = self.ratios[i], 0, i
-                break
-        if ratio < self.border or self.used >= self.quota:
-            return False
-        self.used += 1
-        return True
+        turn = self._turn()
+        if turn < len(self.ratios):
+            self.at = turn
+            if self.ratios[turn] != self.border:
+                self.border, self.tried = self.ratios[turn], 0
+        granted = ratio >= self.border and self.used < self.quota
+        self.used += granted
+        return granted
 
     def state(self) -> tuple:
         return (self.used, self.tried, self.at, self.border)

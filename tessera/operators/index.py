@@ -85,8 +85,26 @@ def search_many(queries: DataFrame, terms: DataFrame, universe: DataFrame, count
         empty = F.when(F.col("on_empty"), F.lit(total) - F.coalesce("touched", F.lit(0))).otherwise(0)
         return parsed.join(touched, "query_id", "left").select("query_id", (F.coalesce("yes", F.lit(0)) + empty).cast("bigint").alias("n_results"))
     found = judged.filter("holds").select("query_id", "key")
-    rest = parsed.filter("on_empty").select("query_id").crossJoin(universe.select("key"))  # the queries' own result is the complement: as many rows as it has
-    return found.unionByName(rest.join(judged.select("query_id", "key"), ["query_id", "key"], "left_anti"))
+    return found.unionByName(_untouched(parsed.filter("on_empty").select("query_id"), judged, universe))
+
+
+#: Keys of the universe in one block when complements are taken.
+COMPLEMENT = 4_096
+
+
+def _untouched(queries: DataFrame, judged: DataFrame, universe: DataFrame) -> DataFrame:
+    """``query_id, key``: for each query the keys of the universe that none of its terms touches.
+
+    The universe lies in hashed blocks; a query meets each block as one small row, to which its touched keys
+    of that block and then the block's keys are joined. Only the result itself has the size of queries times keys.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.lit(1.0) * universe.count() / COMPLEMENT).cast("int"))
+    place = F.pmod(F.xxhash64(F.col("key").cast("string")), n).cast("bigint").alias("block")
+    blocks = universe.select("key", place).groupBy("block").agg(F.collect_list("key").alias("ids"))
+    touched = judged.join(queries, "query_id", "left_semi").select("query_id", "key", place).groupBy("query_id", "block").agg(F.collect_list("key").alias("touched"))
+    cells = queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).alias("block")).join(touched, ["query_id", "block"], "left")
+    left = F.when(F.col("touched").isNull(), F.col("ids")).otherwise(F.array_except("ids", "touched"))
+    return cells.join(blocks, "block").select("query_id", F.explode(left).alias("key"))
 
 
 def gap_table(docs: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:

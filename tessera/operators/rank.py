@@ -20,10 +20,22 @@ def click_rates(clicks: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "doc_id").agg(F.count("*").alias("n_shown"), F.sum(F.array_contains("c", F.col("doc_id")).cast("bigint")).alias("n_clicked"))
 
 
-def term_counts(docs: DataFrame, key: str, col: str, pairs: bool = False) -> DataFrame:
-    """``key, term, tf``; with ``pairs`` the terms are neighbouring word pairs."""
+def counted(words: Column) -> Column:
+    """Array of (term, tf) of an array of words, counted within the row: sorted, so that equal words are runs."""
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        counts = text.let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), n) - i).cast("bigint").alias("tf"))))
+        return F.when(n > 0, counts)
+
+    return text.let(F.array_sort(words), runs)
+
+
+def term_counts(docs: DataFrame, key: str, col, pairs: bool = False) -> DataFrame:
+    """``key, term, tf`` without a shuffle, as a document is a row; with ``pairs`` the terms are neighbouring word pairs."""
     words = text.tokens(col)
-    return docs.select(F.col(key), F.explode(text.bigrams(words) if pairs else words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return docs.select(F.col(key), F.explode(counted(text.bigrams(words) if pairs else words)).alias("t")).select(key, "t.term", "t.tf")
 
 
 def idf(counts: DataFrame, n_docs: int) -> DataFrame:
@@ -31,9 +43,19 @@ def idf(counts: DataFrame, n_docs: int) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log2(F.lit(float(max(n_docs, 1))) / F.col("df")))
 
 
+#: A vocabulary of at most so many terms is broadcast (about 100 MB); a larger one is joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
+
+
+def weighed(counts: DataFrame, weights: DataFrame) -> DataFrame:
+    """Counts with their terms' idf; terms outside ``weights`` drop out. The hot terms of a large vocabulary are left to the adaptive skew join."""
+    known = weights.select("term", "idf")
+    return counts.join(F.broadcast(known) if weights.count() <= BROADCAST_TERMS else known, "term")
+
+
 def tfidf(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """``key, term, weight``: tf * idf, each document's vector of length 1; terms outside ``weights`` and of weight 0 drop out."""
-    raw = counts.join(weights.select("term", "idf"), "term").withColumn("raw", F.col("tf") * F.col("idf")).filter("raw > 0")
+    raw = weighed(counts, weights).withColumn("raw", F.col("tf") * F.col("idf")).filter("raw > 0")
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
@@ -57,67 +79,132 @@ def keyword(query_counts: DataFrame, weights: DataFrame) -> DataFrame:
 NOWHERE = 2**31 - 1
 
 
-def first_position(words: Column, query: Column) -> Column:
-    """Smallest position (from 0) of any query word, ``NOWHERE`` if there is none."""
-    at = F.transform(query, lambda w: F.array_position(words, w).cast("bigint"))
-    return F.coalesce(F.array_min(F.filter(at, lambda p: p > 0)) - 1, F.lit(NOWHERE)).cast("bigint")
+YEAR = r"(?:^|[^0-9A-Za-z_])([12][0-9]{3})(?:[^0-9A-Za-z_]|$)"
+
 
+def year_of(col: Column) -> Column:
+    """First number from 1000 to 2999 that stands alone, empty if there is none."""
+    return F.regexp_extract(col, YEAR, 1)
 
-def min_distance(words: Column, query: Column) -> Column:
-    """Smallest distance between occurrences of two different query words; ``NOWHERE`` if fewer than two occur.
 
-    Of the words' positions only neighbours with different words can be the closest pair, so one pass
-    over the positions is enough.
-    """
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: F.array_contains(query, x["w"]))
+PARTS = ("text", "title")
 
-    def closest(found: Column) -> Column:
-        left = F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))
-        right = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
-        return F.when(F.size(found) > 1, F.array_min(F.zip_with(left, right, lambda a, b: F.when(a["w"] != b["w"], b["at"] - a["at"]))))
 
-    return F.coalesce(text.let(hits, closest), F.lit(NOWHERE)).cast("bigint")
+def _wanted(queries: DataFrame, places: DataFrame | None, keywords: DataFrame | None) -> DataFrame:
+    """``query_id, term, times, place, year, key``: the words to look for, how often the query has them, and what they are."""
+    asked = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
+    words = term_counts(asked, "query_id", "query").select("query_id", "term", F.col("tf").alias("times"))
+    if places is not None:
+        words = words.join(F.broadcast(places.select("term").distinct().withColumn("place", F.lit(1))), "term", "left").withColumn("place", F.coalesce("place", F.lit(0)))
+    else:
+        words = words.withColumn("place", F.lit(0))
+    words = words.select("query_id", "term", "times", "place", F.lit(0).alias("year"), F.lit(0).alias("key"))
+    extra = asked.select("query_id", year_of(F.col("query")).alias("term")).filter("term <> ''").select("query_id", "term", F.lit(0).cast("bigint"), F.lit(0), F.lit(1), F.lit(0))
+    words = words.union(extra)
+    if keywords is not None:
+        words = words.union(keywords.select("query_id", "keyword", F.lit(0).cast("bigint"), F.lit(0), F.lit(0), F.lit(1)))
+    return words.groupBy("query_id", "term").agg(F.sum("times").alias("times"), *[F.max(c).alias(c) for c in ("place", "year", "key")])
 
 
-def share_present(words: Column, query: Column) -> Column:
-    """Share of the query's words (repeated ones count each) that occur."""
-    return F.when(F.size(query) > 0, F.size(F.filter(query, lambda w: F.array_contains(words, w))) / F.size(query)).otherwise(0.0)
+def positions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, term, text, title``: ascending positions (from 0) of the wanted terms in both parts of each document."""
+    placed = lambda c: F.transform(text.tokens(F.coalesce(c, F.lit(""))), lambda w, i: F.struct(F.lit(c).alias("part"), i.alias("at"), w.alias("term")))
+    rows = docs.select("doc_id", F.explode(F.concat(*map(placed, PARTS))).alias("x")).select("doc_id", "x.term", "x.part", "x.at")
+    terms = wanted.select("term").distinct()
+    rows = rows.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
+    return rows.groupBy("doc_id", "term").agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == c, F.col("at")))).alias(c) for c in PARTS])
 
 
-YEAR = r"(?:^|[^0-9A-Za-z_])([12][0-9]{3})(?:[^0-9A-Za-z_]|$)"
+def _closest(found: Column) -> Column:
+    """Smallest distance of neighbours with different words in an array of (at, term)."""
 
+    def walk(f: Column) -> Column:
+        left, right = F.slice(f, 1, F.greatest(F.size(f) - 1, F.lit(0))), F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0)))
+        return F.when(F.size(f) > 1, F.array_min(F.zip_with(left, right, lambda a, b: F.when(a["term"] != b["term"], b["at"] - a["at"]))))
 
-def year_of(col: Column) -> Column:
-    """First number from 1000 to 2999 that stands alone, empty if there is none."""
-    return F.regexp_extract(col, YEAR, 1)
+    return text.let(F.array_sort(found), walk)
 
 
-def text_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame, cities: list[str] | None = None) -> DataFrame:
-    """Position, phrase, share, city and year features of (query_id, doc_id) pairs for text and title.
+def text_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame, places: DataFrame | None = None, keywords: DataFrame | None = None) -> DataFrame:
+    """Length, position, phrase, share, place, key-word and year features of (query_id, doc_id) pairs for text and title.
 
-    ``docs`` has doc_id, text, title; absent texts and titles count as empty. Documents that don't exist give no row.
+    ``docs`` has doc_id, text, title; absent texts and titles count as empty. ``places`` (term) is a gazetteer, a
+    dimension table; ``keywords`` has query_id and keyword. Documents that don't exist give no row. The words' positions
+    are looked up once per document and wanted word; a pair aggregates the few words of its query.
     """
-    q = queries.select("query_id", text.tokens(F.coalesce("query", F.lit(""))).alias("q"), year_of(F.coalesce("query", F.lit(""))).alias("q_year"))
-    d = docs.select("doc_id", *[text.tokens(F.coalesce(c, F.lit(""))).alias(c) for c in ("text", "title")])
-    rows = pairs.select("query_id", "doc_id").join(q, "query_id").join(d, "doc_id")
+    wanted = _wanted(queries, places, keywords)
+    hits = pairs.select("query_id", "doc_id").join(wanted, "query_id").join(positions(docs, wanted), ["doc_id", "term"])
+    aggregates = []
+    for c in PARTS:
+        there = F.size(c) > 0
+        asked = there & (F.col("times") > 0)
+        aggregates += [
+            F.sum(F.when(asked, F.col("times"))).alias(f"have_{c}"),
+            F.min(F.when(asked, F.element_at(c, 1))).alias(f"first_{c}"),
+            F.flatten(F.collect_list(F.when(asked, F.transform(c, lambda at: F.struct(at.alias("at"), F.col("term").alias("term")))))).alias(f"at_{c}"),
+            *[F.max((there & (F.col(kind) == 1)).cast("int")).alias(f"{kind}_{c}") for kind in ("place", "year", "key")],
+        ]
+    known = hits.groupBy("query_id", "doc_id").agg(*aggregates)
+    joined = lambda c: F.array_join(text.tokens(F.coalesce(c, F.lit(""))), " ")
+    q = queries.select("query_id", joined("query").alias("phrase"), F.size(text.tokens(F.coalesce("query", F.lit("")))).alias("n_words"))
+    d = docs.select("doc_id", *[joined(c).alias(c) for c in PARTS], *[F.size(text.tokens(F.coalesce(c, F.lit("")))).cast("bigint").alias(f"len_{c}") for c in PARTS])
+    rows = pairs.select("query_id", "doc_id").join(q, "query_id").join(d, "doc_id").join(known, ["query_id", "doc_id"], "left")
     out = [F.col("query_id"), F.col("doc_id")]
-    place = F.filter("q", lambda w: w.isin([c.lower() for c in cities or []])) if cities else None
-    for c in ("text", "title"):
-        words, phrase = F.col(c), F.array_join("q", " ")
+    for c in PARTS:
+        have = F.coalesce(f"have_{c}", F.lit(0))
         out += [
-            F.size(words).cast("bigint").alias(f"len_{c}"),
-            first_position(words, F.col("q")).alias(f"first_pos_{c}"),
-            min_distance(words, F.col("q")).alias(f"min_dist_{c}"),
-            ((phrase != "") & (F.instr(F.array_join(words, " "), phrase) > 0)).cast("int").alias(f"phrase_{c}"),
-            F.round(share_present(words, F.col("q")), 6).alias(f"part_{c}"),
-            ((F.size("q") > 0) & (share_present(words, F.col("q")) == 1)).cast("int").alias(f"all_{c}"),
-            ((F.col("q_year") != "") & F.array_contains(words, F.col("q_year"))).cast("int").alias(f"year_{c}"),
+            F.col(f"len_{c}"),
+            F.coalesce(f"first_{c}", F.lit(NOWHERE)).cast("bigint").alias(f"first_pos_{c}"),
+            F.coalesce(_closest(F.col(f"at_{c}")), F.lit(NOWHERE)).cast("bigint").alias(f"min_dist_{c}"),
+            ((F.col("phrase") != "") & (F.instr(F.col(c), F.col("phrase")) > 0)).cast("int").alias(f"phrase_{c}"),
+            F.round(F.when(F.col("n_words") > 0, have / F.col("n_words")).otherwise(0.0), 6).alias(f"part_{c}"),
+            ((F.col("n_words") > 0) & (have == F.col("n_words"))).cast("int").alias(f"all_{c}"),
+            F.coalesce(f"place_{c}", F.lit(0)).alias(f"geo_{c}"),
+            F.coalesce(f"key_{c}", F.lit(0)).cast("double").alias(f"part_key_{c}"),
+            F.coalesce(f"key_{c}", F.lit(0)).alias(f"all_key_{c}"),
+            F.coalesce(f"year_{c}", F.lit(0)).alias(f"year_{c}"),
         ]
-        if place is not None:
-            out.append(F.coalesce(F.exists(place, lambda w: F.array_contains(words, w)).cast("int"), F.lit(0)).alias(f"geo_{c}"))
     return rows.select(*out)
 
 
+#: The features in the order of the vector; the boosted term reads the first fourteen.
+VECTOR = ["tfidf_text", "tfidf_title", "tfidf2_text", "tfidf2_title"] + [f"{n}_{c}" for n in ("len", "first_pos", "min_dist", "phrase", "part", "all", "geo", "part_key", "all_key", "year") for c in PARTS]
+BOOSTED = 14
+
+
+def similarities(pairs: DataFrame, queries: DataFrame, docs: DataFrame, n_docs: int, keep=lambda df, name: df) -> DataFrame:
+    """``query_id, doc_id`` and the cosines of tf-idf vectors of words and of word pairs with text and title.
+
+    Document frequencies are those of title and text together. Pairs of existing documents without a common term have 0.
+    ``keep`` may write an intermediate table that is read twice.
+    """
+    whole = docs.select("doc_id", F.concat_ws(" ", "title", "text").alias("whole"))
+    out = pairs.select("query_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    for label, two in (("tfidf", False), ("tfidf2", True)):
+        weights = keep(idf(term_counts(whole, "doc_id", "whole", two), n_docs), label)
+        asked = tfidf(term_counts(queries.select("query_id", "query"), "query_id", "query", two), weights, "query_id")
+        for c in PARTS:
+            sims = cosine(asked, tfidf(term_counts(docs, "doc_id", c, two), weights, "doc_id"), pairs)
+            out = out.join(sims.withColumnRenamed("sim", f"{label}_{c}"), ["query_id", "doc_id"], "left")
+    return out.select("query_id", "doc_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in VECTOR[:4]])
+
+
+def tfidf_rank(sims: DataFrame, title: float = 15.0) -> Column:
+    """Word similarity of the text plus ``title`` times that of the title."""
+    return F.col("tfidf_text") + title * F.col("tfidf_title")
+
+
+def first_rank(sims: DataFrame, lengths: DataFrame, average: Column, title: float = 5.0) -> DataFrame:
+    """``query_id, doc_id, score``: the four similarities (titles count ``title`` times) over the query's largest sum, plus the length prior.
+
+    ``lengths`` has doc_id and n, the words of title and text. A query whose documents have nothing in common with it has similarity 0.
+    """
+    summed = sims.withColumn("sim", F.col("tfidf_text") + title * F.col("tfidf_title") + F.col("tfidf2_text") + title * F.col("tfidf2_title"))
+    top = summed.groupBy("query_id").agg(F.max("sim").alias("top"))
+    rows = summed.join(top, "query_id").join(lengths, "doc_id")
+    return rows.select("query_id", "doc_id", (F.col("sim") / F.coalesce(F.expr("nullif(top, 0)"), F.lit(1.0)) + length_prior(F.col("n"), average)).alias("score"))
+
+
 def min_max(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """Columns scaled to 0..1 within each group, a constant one to 0. Group minima and maxima are aggregated and joined: no window holds a group."""
     bounds = rows.groupBy(group).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
@@ -125,15 +212,32 @@ def min_max(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return rows.join(bounds, group).select(*[c for c in rows.columns if c not in columns], *scaled)
 
 
-#: Coefficients of the linear rank by feature; distances count inverted.
-COEFFICIENTS = {"first_pos_text": 0, "first_pos_title": 0, "min_dist_text": 2, "min_dist_title": 1, "phrase_text": 3, "phrase_title": 7, "part_text": 3, "part_title": 7, "all_text": 1, "all_title": 1, "year_text": 2, "year_title": 4}
+#: Coefficients of the linear rank by feature, those of the boosted term and of the length prior, and the divisor; distances count inverted.
+COEFFICIENTS = dict(zip(VECTOR, (1, 5, 1, 5, 0, 0, 0, 0, 2, 1, 3, 7, 3, 7, 1, 1, 3, 6, 0, 0, 0, 0, 2, 4)))
+BOOST, PRIOR, DIVISOR = 25.0, 2.0, 52.0
 INVERTED = {"first_pos_text", "first_pos_title", "min_dist_text", "min_dist_title"}
 
 
-def linear_rank(scaled: DataFrame, coefficients: dict[str, float] | None = None) -> Column:
-    coefficients = coefficients or COEFFICIENTS
-    parts = [k * ((1 - F.col(c)) if c in INVERTED else F.col(c)) for c, k in coefficients.items() if k]
-    return sum(parts[1:], parts[0]) / float(sum(coefficients.values()))
+def linear_rank(coefficients: dict[str, float] | None = None) -> Column:
+    """Sum of the scaled features by their coefficients."""
+    parts = [k * ((1 - F.col(c)) if c in INVERTED else F.col(c)) for c, k in (coefficients or COEFFICIENTS).items() if k]
+    return sum(parts[1:], parts[0])
+
+
+def final_rank(linear: Column, boosted: Column, length: Column, average: Column) -> Column:
+    """Linear rank, boosted prediction and length prior in one score."""
+    return (linear + BOOST * boosted + length_prior(length, average, c=PRIOR)) / DIVISOR
+
+
+def expand_queries(queries: DataFrame, synonyms: DataFrame, top: int = 1, threshold: float = 0.9, stop: tuple[str, ...] = ()) -> DataFrame:
+    """``query_id, query``: each query's words followed by up to ``top`` synonyms of each that are similar enough; stop words get none."""
+    strong = Window.partitionBy("term").orderBy(F.desc("sim"), "synonym")
+    best = synonyms.filter(F.col("sim") >= threshold).withColumn("r", F.row_number().over(strong)).filter(F.col("r") <= top)
+    words = queries.select("query_id", F.posexplode(text.tokens(F.coalesce("query", F.lit("")))).alias("at", "term"))
+    added = words.filter(~F.col("term").isin(list(stop))).join(best, "term").select("query_id", (F.col("at") + F.lit(1 << 20)).alias("at"), "r", F.col("synonym").alias("term"))
+    both = words.select("query_id", "at", F.lit(0).alias("r"), "term").unionByName(added)
+    made = both.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "r", "term"))), lambda x: x["term"]), " ").alias("query"))
+    return queries.select("query_id").join(made, "query_id", "left").select("query_id", F.coalesce("query", F.lit("")).alias("query"))
 
 
 def top_k(scored: DataFrame, k: int = 5, group: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
@@ -177,45 +281,60 @@ def rank_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.filter(~F.col("d1").eqNullSafe(F.col("d2"))).agg(F.countDistinct("query_id").alias("n_queries"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4_096, key: str = "vec_id", col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk: int = 200_000, key: str = "vec_id", col: str = "embedding") -> DataFrame:
     """``query_vec, vec_id, cosine, place``: the ``k`` most similar vectors of each query vector, itself excluded, exact.
 
-    Query vectors are taken in blocks of a fixed size, the only data a task holds; each Arrow batch of vectors
-    is multiplied with the block and gives its k best per query, which one window over small rows merges. Null
-    and zero vectors take no part.
+    Vectors are hashed to chunks of at most about ``chunk`` rows; a task holds one chunk as a matrix, past which all query
+    vectors stream in batches, and gives the k best of its chunk for each, which one window over small rows merges. Nothing
+    passes through the driver. Null and zero vectors take no part.
     """
-    import numpy as np
-    import pandas as pd
-
-    numbered = queries.filter(F.col(col).isNotNull()).select(key, col).orderBy(key)
-    iterator, out = numbered.toLocalIterator(), None
-    while True:
-        rows = [r for _, r in zip(range(block), iterator)]
-        if not rows:
-            break
-        ids = np.array([r[0] for r in rows])
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        norm = np.linalg.norm(matrix, axis=1)
-        ids, matrix = ids[norm > 0], (matrix / np.where(norm > 0, norm, 1)[:, None])[norm > 0]
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def best(batches, shared=shared):
-            ids, matrix = shared.value
-            for pdf in batches:
-                if not len(pdf):
+    spark = vectors.sparkSession
+    chunks = max(1, -(-vectors.count() // chunk), spark.sparkContext.defaultParallelism)
+    kind = dict(vectors.dtypes)[key]
+    left = vectors.filter(F.col(col).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("asks"), F.col(key).alias("id"), F.col(col).cast("array<double>").alias("v"))
+    right = queries.filter(F.col(col).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("asks"), F.col(key).alias("id"), F.col(col).cast("array<double>").alias("v"))
+    rows = left.unionByName(right).repartition("chunk").sortWithinPartitions("chunk", "asks")
+    found = rows.mapInArrow(_best_of_chunk(k), f"query_vec {kind}, id {kind}, cosine double").withColumnRenamed("id", key)
+    return top_k(found, k, "query_vec", key, "cosine")
+
+
+def _best_of_chunk(k: int):
+    """Rows (chunk, asks, id, v): a chunk's vectors come first, then the query vectors."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def rows(batch, at):
+            part = batch.filter(pa.array(at))
+            v = part.column(3)
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            norm = np.linalg.norm(x, axis=1)
+            return part.column(2).to_numpy(zero_copy_only=False)[norm > 0], x[norm > 0] / norm[norm > 0][:, None]
+
+        current, gathered, ids, matrix = None, [], None, None
+        for batch in batches:
+            chunk, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for c in np.unique(chunk):
+                if c != current:
+                    current, gathered, matrix = c, [], None
+                own = (chunk == c) & (asks == 0)
+                if own.any():
+                    gathered.append(rows(batch, own))
+                asked = (chunk == c) & (asks == 1)
+                if not asked.any() or not gathered:
                     continue
-                x = np.array(pdf[col].tolist(), dtype=np.float64)
-                length = np.linalg.norm(x, axis=1)
-                keep = length > 0
-                x, names = x[keep] / length[keep][:, None], pdf[key].to_numpy()[keep]
-                sims = np.round(matrix @ x.T, 6)
-                sims[ids[:, None] == names[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(names, sims.shape), -sims), axis=1)[:, : k]
-                take = np.take_along_axis(sims, order, axis=1)
-                yield pd.DataFrame({"query_vec": np.repeat(ids, order.shape[1]), key: names[order].ravel(), "cosine": take.ravel()}).query("cosine > -2")
-
-        part = vectors.filter(F.col(col).isNotNull()).select(key, col).mapInPandas(best, f"query_vec bigint, {key} bigint, cosine double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_vec bigint, {key} bigint, cosine double, place int")
-    return top_k(out, k, "query_vec", key, "cosine")
+                if matrix is None:
+                    ids, matrix = np.concatenate([g[0] for g in gathered]), np.concatenate([g[1] for g in gathered])
+                    order = np.argsort(ids, kind="stable")
+                    ids, matrix = ids[order], matrix[order]
+                names, x = rows(batch, asked)
+                for at in range(0, len(names), 256):
+                    sims = np.round(x[at : at + 256] @ matrix.T, 6)
+                    sims[names[at : at + 256, None] == ids[None, :]] = -2
+                    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
+                    take = np.take_along_axis(sims, best, axis=1)
+                    keep = take.ravel() > -2
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + 256], best.shape[1])[keep]), pa.array(ids[best].ravel()[keep]), pa.array(take.ravel()[keep])], names=["query_vec", "id", "cosine"])
+
+    return run

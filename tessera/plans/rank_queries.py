@@ -94,25 +94,63 @@ def tfidf_cosine(spark, d):
     return _similar(spark, d).select("query_id", "doc_id", F.round("sim", 6).alias("sim"))
 
 
-_FIRST = f"""with {_TFIDF}, {_QUERY_WEIGHTS}, c as ({_SHOWN}),
-    s as (select query_id, doc_id, sum(qw.weight * dw.weight) sim from c join qw using (query_id) join dw using (doc_id, term) group by 1, 2),
-    l as (select doc_id, len({_W.format("coalesce(text, '')")}) n from documents),
-    a as (select avg(n) a from l),
-    m as (select query_id, max(sim) top from s group by 1),
-    r as (select query_id, doc_id, coalesce(sim, 0) / coalesce(nullif(top, 0), 1) + 0.7 * (1 - abs(0.2 * a - n) / a) score from c join l using (doc_id) cross join a left join s using (query_id, doc_id) left join m using (query_id)),
-    p as (select query_id, doc_id, round(score, 6) score, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) place from r)
-    select query_id, doc_id, score, cast(place as int) place from p where place <= 5"""
+def _sims_sql() -> str:
+    """CTEs up to ``s``: query_id, doc_id and the four cosines of words (1) and word pairs (2) with text and title."""
+    grams = {1: "{0}", 2: "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"}
+    ctes = [f"c as ({_SHOWN})", f"d0 as (select doc_id, {_W.format("coalesce(text, '')")} w_text, {_W.format("coalesce(title, '')")} w_title, {_W.format("concat_ws(' ', title, text)")} w from documents)", f"q0 as (select query_id, {_W.format("coalesce(query, '')")} w from queries)"]
+    for n, gram in grams.items():
+        ctes.append(f"i{n} as (select term, log2((select count(*) from documents) / count(*)) idf from (select distinct doc_id, unnest({gram.format('w')}) term from d0) group by 1)")
+        for name, source, key, w in ((f"q{n}", "q0", "query_id", "w"), (f"text{n}", "d0", "doc_id", "w_text"), (f"title{n}", "d0", "doc_id", "w_title")):
+            ctes.append(f"{name}t as (select {key}, term, count(*) tf from (select {key}, unnest({gram.format(w)}) term from {source}) group by 1, 2)")
+            ctes.append(f"{name} as (select {key}, term, r / sqrt(sum(r * r) over (partition by {key})) weight from (select {key}, term, tf * idf r from {name}t join i{n} using (term) where tf * idf > 0))")
+        for part in rank.PARTS:
+            ctes.append(f"s_{part}{n} as (select query_id, doc_id, sum(a.weight * b.weight) sim from c join q{n} a using (query_id) join {part}{n} b using (doc_id, term) group by 1, 2)")
+    columns = ", ".join(f"coalesce(s_{part}{n}.sim, 0) {label}_{part}" for n, label in ((1, "tfidf"), (2, "tfidf2")) for part in rank.PARTS)
+    joins = " ".join(f"left join s_{part}{n} using (query_id, doc_id)" for n in grams for part in rank.PARTS)
+    ctes.append(f"s as (select query_id, doc_id, {columns} from c join (select doc_id from documents) using (doc_id) {joins})")
+    ctes.append("l as (select doc_id, len(w) n from d0), a as (select avg(n) a from l)")
+    return "with " + ", ".join(ctes)
 
 
-def _first_rank(spark, d):
-    docs = _docs(spark, d, "text")
-    length = docs.select("doc_id", F.size(text.tokens(F.coalesce("text", F.lit("")))).alias("n"))
-    average = length.agg(F.avg("n")).scalar()
-    sims = materialize(_similar(spark, d), "sims")
-    top = sims.groupBy("query_id").agg(F.max("sim").alias("top"))
-    rows = rank.shown(table(spark, d, "clicks")).join(length, "doc_id").join(sims, ["query_id", "doc_id"], "left").join(top, "query_id", "left")
-    score = F.coalesce("sim", F.lit(0.0)) / F.coalesce(F.expr("nullif(top, 0)"), F.lit(1.0)) + rank.length_prior(F.col("n"), average)
-    return rows.select("query_id", "doc_id", F.round(score, 6).alias("score"))
+_SIMS = _sims_sql()
+_FOUR = ", ".join(f"round({c}, 6) {c}" for c in rank.VECTOR[:4])
+
+
+def _similarities(spark, d, pairs=None, queries=None):
+    docs = _docs(spark, d, "text", "title")
+    pairs = rank.shown(table(spark, d, "clicks")) if pairs is None else pairs
+    return rank.similarities(pairs, table(spark, d, "queries") if queries is None else queries, docs, docs.count(), materialize)
+
+
+def _lengths(spark, d):
+    """Words of title and text of each document, and their mean."""
+    lengths = _docs(spark, d, "text", "title").select("doc_id", F.size(text.tokens(F.concat_ws(" ", "title", "text"))).alias("n"))
+    return lengths, lengths.agg(F.avg("n")).scalar()
+
+
+@query("tfidf_similarities", f"{_SIMS} select query_id, doc_id, {_FOUR} from s")
+def tfidf_similarities(spark, d):
+    """Similarities of words and word pairs with text and title."""
+    return _similarities(spark, d).select("query_id", "doc_id", *[F.round(c, 6).alias(c) for c in rank.VECTOR[:4]])
+
+
+_TOP5 = "p as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) place from r) select query_id, doc_id, score, cast(place as int) place from p where place <= 5"
+
+
+@query("tfidf_rank_top5", f"{_SIMS}, r as (select query_id, doc_id, round(tfidf_text + 15 * tfidf_title, 6) score from s), {_TOP5}")
+def tfidf_rank_top5(spark, d):
+    sims = _similarities(spark, d)
+    return rank.top_k(sims.select("query_id", "doc_id", F.round(rank.tfidf_rank(sims), 6).alias("score")))
+
+
+_FIRST = f"""{_SIMS}, m as (select query_id, doc_id, tfidf_text + 5 * tfidf_title + tfidf2_text + 5 * tfidf2_title sim from s),
+    r as (select query_id, doc_id, round(sim / coalesce(nullif(max(sim) over (partition by query_id), 0), 1) + 0.7 * (1 - abs(0.2 * a - n) / a), 6) score from m join l using (doc_id), a), {_TOP5}"""
+
+
+def _first_rank(spark, d, pairs=None, queries=None):
+    sims = materialize(_similarities(spark, d, pairs, queries), "sims")
+    scored = rank.first_rank(sims, *_lengths(spark, d))
+    return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("first_rank_top5", _FIRST)
@@ -127,6 +165,11 @@ def keyword_idf(spark, d):
     return rank.keyword(asked, idf.withColumn("idf", F.round("idf", 9)))
 
 
+_KEYS = f"""kt as (select doc_id, unnest({_W.format('text')}) term from documents), ki as (select term, log2((select count(*) from documents) / count(distinct doc_id)) idf from kt group by 1),
+    kq as (select distinct query_id, unnest({_W.format('query')}) term from queries), k as (select query_id, arg_min(term, (-round(idf, 9), term)) keyword from kq join ki using (term) group by 1)"""
+_PLACES = "select distinct unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+')) term from (select n_name as name from nation union all select r_name from region)"
+
+
 def _feature_sql(c: str) -> str:
     w = f"w_{c}"
     return f"""cast(len({w}) as bigint) len_{c},
@@ -134,57 +177,131 @@ def _feature_sql(c: str) -> str:
         case when array_to_string(q, ' ') <> '' and contains(array_to_string({w}, ' '), array_to_string(q, ' ')) then 1 else 0 end phrase_{c},
         round(case when len(q) > 0 then len(list_filter(q, lambda x: list_contains({w}, x))) / len(q) else 0.0 end, 6) part_{c},
         case when len(q) > 0 and len(list_filter(q, lambda x: list_contains({w}, x))) = len(q) then 1 else 0 end all_{c},
+        case when list_has_any({w}, list_intersect(q, (select list(term) from ({_PLACES})))) then 1 else 0 end geo_{c},
+        case when keyword is not null and list_contains({w}, keyword) then 1.0 else 0.0 end part_key_{c},
+        case when keyword is not null and list_contains({w}, keyword) then 1 else 0 end all_key_{c},
         case when qy <> '' and list_contains({w}, qy) then 1 else 0 end year_{c}"""
 
 
-_PAIRS = f"""with c as ({_SHOWN}), z as (select query_id, doc_id, {_W.format("coalesce(query, '')")} q, regexp_extract(coalesce(query, ''), '{rank.YEAR}', 1) qy, {_W.format("coalesce(text, '')")} w_text, {_W.format("coalesce(title, '')")} w_title from c join queries using (query_id) join documents using (doc_id))"""
-_SIMPLE = [f"{n}_{c}" for c in ("text", "title") for n in ("len", "first_pos", "phrase", "part", "all", "year")]
+_PAIRS = f"""z as (select query_id, doc_id, keyword, {_W.format("coalesce(query, '')")} q, regexp_extract(coalesce(query, ''), '{rank.YEAR}', 1) qy, {_W.format("coalesce(text, '')")} w_text, {_W.format("coalesce(title, '')")} w_title from ({_SHOWN}) c join queries using (query_id) join documents using (doc_id) left join k using (query_id))"""
+_SIMPLE = [f"{n}_{c}" for c in rank.PARTS for n in ("len", "first_pos", "phrase", "part", "all", "geo", "part_key", "all_key", "year")]
+
+
+def _places(spark, d):
+    """The gazetteer: words of the names of nations and regions."""
+    names = table(spark, d, "nation").select(F.col("n_name").alias("name")).unionByName(table(spark, d, "region").select(F.col("r_name").alias("name")))
+    return names.select(F.explode(text.tokens("name")).alias("term")).distinct()
+
+
+def _keywords(spark, d):
+    _, idf = _weights(spark, d)
+    return rank.keyword(rank.term_counts(table(spark, d, "queries"), "query_id", "query"), idf.withColumn("idf", F.round("idf", 9)))
 
 
 def _text_features(spark, d):
-    return rank.text_features(rank.shown(table(spark, d, "clicks")), table(spark, d, "queries"), _docs(spark, d, "text", "title"))
+    return rank.text_features(rank.shown(table(spark, d, "clicks")), table(spark, d, "queries"), _docs(spark, d, "text", "title"), _places(spark, d), materialize(_keywords(spark, d), "keywords"))
 
 
-@query("text_features", f"{_PAIRS} select query_id, doc_id, {_feature_sql('text')}, {_feature_sql('title')} from z")
+@query("text_features", f"with {_KEYS}, {_PAIRS} select query_id, doc_id, {_feature_sql('text')}, {_feature_sql('title')} from z")
 def text_features(spark, d):
     return _text_features(spark, d).select("query_id", "doc_id", *_SIMPLE)
 
 
-_DIST = f"""{_PAIRS}, h as (select query_id, doc_id, unnest(w_text) w, unnest(range(0, len(w_text))) i, q from z), k as (select query_id, doc_id, w, i from h where list_contains(q, w)),
-    m as (select a.query_id, a.doc_id, min(abs(a.i - b.i)) v from k a join k b on a.query_id = b.query_id and a.doc_id = b.doc_id and a.w <> b.w group by 1, 2)
-    select z.query_id, z.doc_id, coalesce(v, {rank.NOWHERE}) min_dist_text from z left join m using (query_id, doc_id)"""
+def _distance_sql(c: str) -> str:
+    return f"""h_{c} as (select query_id, doc_id, unnest(w_{c}) w, unnest(range(0, len(w_{c}))) i, q from z), k_{c} as (select query_id, doc_id, w, i from h_{c} where list_contains(q, w)),
+    m_{c} as (select query_id, doc_id, min(i - j) v from (select query_id, doc_id, w, i, lag(w) over o u, lag(i) over o j from k_{c} window o as (partition by query_id, doc_id order by i)) where u <> w group by 1, 2)"""
 
 
-@query("feat_min_dist", _DIST)
+_DISTANCES = f"{_distance_sql('text')}, {_distance_sql('title')}"
+
+
+@query("feat_min_dist", f"with {_KEYS}, {_PAIRS}, {_DISTANCES} select z.query_id, z.doc_id, coalesce(m_text.v, {rank.NOWHERE}) min_dist_text, coalesce(m_title.v, {rank.NOWHERE}) min_dist_title from z left join m_text using (query_id, doc_id) left join m_title using (query_id, doc_id)")
 def feat_min_dist(spark, d):
-    return _text_features(spark, d).select("query_id", "doc_id", "min_dist_text")
+    return _text_features(spark, d).select("query_id", "doc_id", "min_dist_text", "min_dist_title")
+
 
+def _vector(spark, d):
+    """All 24 features of each shown pair."""
+    sims = materialize(_similarities(spark, d), "sims")
+    return materialize(_text_features(spark, d).join(sims, ["query_id", "doc_id"]).select("query_id", "doc_id", *rank.VECTOR), "vector")
 
-_SCALED = ["first_pos_text", "len_text", "part_text", "part_title"]
-_SCALE_SQL = ", ".join(f"round(case when max({c}) over w = min({c}) over w then 0.0 else ({c} - min({c}) over w) / (max({c}) over w - min({c}) over w) end, 6) {c}" for c in _SCALED)
 
+_ALL = f"""{_SIMS}, {_KEYS}, {_PAIRS}, {_DISTANCES}, g as (select query_id, doc_id, {_feature_sql('text')}, {_feature_sql('title')} from z),
+    f as (select g.*, s.* exclude (query_id, doc_id), coalesce(m_text.v, {rank.NOWHERE}) min_dist_text, coalesce(m_title.v, {rank.NOWHERE}) min_dist_title
+        from g join s using (query_id, doc_id) left join m_text using (query_id, doc_id) left join m_title using (query_id, doc_id))"""
+_SCALE_SQL = ", ".join(f"round(case when max({c}) over w = min({c}) over w then 0.0 else ({c} - min({c}) over w) / (max({c}) over w - min({c}) over w) end, 6) {c}" for c in rank.VECTOR)
+_SCALED = f"{_ALL}, v as (select query_id, doc_id, {_SCALE_SQL} from f window w as (partition by query_id))"
 
-@query("minmax_features", f"{_PAIRS}, f as (select query_id, doc_id, {_feature_sql('text')}, {_feature_sql('title')} from z) select query_id, doc_id, {_SCALE_SQL} from f window w as (partition by query_id)")
+
+@query("feature_vector", f"{_ALL} select query_id, doc_id, {', '.join(f'round({c}, 5) {c}' for c in rank.VECTOR)} from f")
+def feature_vector(spark, d):
+    """The 24 features of each pair."""
+    return _vector(spark, d).select("query_id", "doc_id", *[F.round(c, 5).alias(c) for c in rank.VECTOR])
+
+
+@query("minmax_features", f"{_SCALED} select query_id, doc_id, {', '.join(rank.VECTOR)} from v")
 def minmax_features(spark, d):
-    return rank.min_max(_text_features(spark, d).select("query_id", "doc_id", *_SCALED), "query_id", _SCALED)
+    return rank.min_max(_vector(spark, d), "query_id", rank.VECTOR)
 
 
-def _linear(spark, d):
-    names = list(rank.COEFFICIENTS)
-    scaled = rank.min_max(_text_features(spark, d).select("query_id", "doc_id", *names), "query_id", names)
-    return scaled.select("query_id", "doc_id", F.round(rank.linear_rank(scaled), 6).alias("score"))
+def _linear(spark, d, rows):
+    scaled = rank.min_max(rows, "query_id", rank.VECTOR)
+    lengths, average = _lengths(spark, d)
+    return scaled.select("query_id", "doc_id", rank.linear_rank().alias("linear")).join(lengths, "doc_id"), average
 
 
-@query("rank_linear")
+_LINEAR_SQL = " + ".join(f"{k} * {f'(1 - {c})' if c in rank.INVERTED else c}" for c, k in rank.COEFFICIENTS.items() if k)
+
+
+@query("rank_linear", f"{_SCALED}, r as (select query_id, doc_id, round(({_LINEAR_SQL} + 2.0 * (1 - abs(0.2 * a - n) / a)) / 52, 4) score from v join l using (doc_id), a), {_TOP5}")
 def rank_linear(spark, d):
-    """Five best documents of each query by the linear rank of scaled features."""
-    return rank.top_k(_linear(spark, d))
+    """Five best documents of each query by the linear rank of all scaled features and the length prior, without the boosted term."""
+    linear, average = _linear(spark, d, _vector(spark, d))
+    return rank.top_k(linear.select("query_id", "doc_id", F.round(rank.final_rank(F.col("linear"), F.lit(0.0), F.col("n"), average), 4).alias("score")))
+
 
+def _final(spark, d, rounds: int = 20):
+    """The whole final rank; the boosted term is fitted on the clicks of the pairs."""
+    rows = _vector(spark, d)
+    first = array_to_vector(F.array(*[F.col(c).cast("double") for c in rank.VECTOR[: rank.BOOSTED]])).alias("x")
+    labelled = rows.select("query_id", "doc_id", first).join(rank.shown(table(spark, d, "clicks")).select("query_id", "doc_id", F.col("clicked").cast("double").alias("y")), ["query_id", "doc_id"])
+    model = regression.GBTRegressor(featuresCol="x", labelCol="y", predictionCol="boosted", maxIter=rounds, maxDepth=2, seed=1).fit(labelled)
+    linear, average = _linear(spark, d, rows)
+    boosted = model.transform(labelled).select("query_id", "doc_id", "boosted")
+    return linear.join(boosted, ["query_id", "doc_id"]).select("query_id", "doc_id", F.round(rank.final_rank(F.col("linear"), F.col("boosted"), F.col("n"), average), 6).alias("score"))
 
-@query("rank_diff")
+
+@query("rank_final")
+def rank_final(spark, d):
+    """Five best documents of each query by the final rank: linear part, boosted regression on the first 14 features, length prior."""
+    return rank.top_k(_final(spark, d))
+
+
+_P5 = lambda name, score: f"{name} as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) place from ({score}))"
+
+
+@query("rank_diff", f"{_SCALED}, m0 as (select query_id, doc_id, tfidf_text + 5 * tfidf_title + tfidf2_text + 5 * tfidf2_title sim from s), {_P5('a1', 'select query_id, doc_id, round(sim / coalesce(nullif(max(sim) over (partition by query_id), 0), 1) + 0.7 * (1 - abs(0.2 * a - n) / a), 6) score from m0 join l using (doc_id), a')}, {_P5('a2', 'select query_id, doc_id, round(tfidf_text + 15 * tfidf_title, 6) score from s')} select count(distinct query_id) n_queries from (select * from a1 where place <= 5) x full join (select * from a2 where place <= 5) y using (query_id, place) where x.doc_id is distinct from y.doc_id")
 def rank_diff(spark, d):
-    """Queries whose first ranking and linear ranking differ in the top five."""
-    return rank.rank_difference(rank.top_k(_first_rank(spark, d)), rank.top_k(_linear(spark, d)))
+    """Queries whose first ranking and ranking by words alone differ in the top five."""
+    sims = _similarities(spark, d)
+    words = sims.select("query_id", "doc_id", F.round(rank.tfidf_rank(sims), 6).alias("score"))
+    return rank.rank_difference(rank.top_k(_first_rank(spark, d)), rank.top_k(words))
+
+
+#: Size of the word vectors and passes over the text.
+VECTOR_SIZE, PASSES = 120, 7
+_models: dict = {}
+
+
+def _word_vectors(spark, d):
+    """Word2Vec model and ``vec_id, term, embedding`` of its vocabulary; ids are hashes of the terms. Trained once a session and folder."""
+    known = (spark.sparkContext.applicationId, d)
+    if known not in _models:
+        sentences = _docs(spark, d, "text").filter("text is not null").select(F.explode(F.transform(F.split("text", r"[.!?…\n]+"), lambda s: text.tokens(s))).alias("w")).filter("size(w) > 2")
+        model = feature.Word2Vec(vectorSize=VECTOR_SIZE, windowSize=5, minCount=5, maxIter=PASSES, seed=1, numPartitions=spark.sparkContext.defaultParallelism, inputCol="w", outputCol="v").fit(sentences)
+        vectors = model.getVectors().select(text.md5_hash(F.col("word")).alias("vec_id"), F.col("word").alias("term"), vector_to_array("vector").alias("embedding"))
+        _models[known] = model, materialize(vectors, "vectors")
+    return _models[known]
 
 
 def _synonyms(spark, d, asked=None):
@@ -197,37 +314,42 @@ def _synonyms(spark, d, asked=None):
     return rank.nearest(terms, chosen, 4).join(terms.select("vec_id", F.col("term").alias("synonym")), "vec_id").join(terms.select(F.col("vec_id").alias("query_vec"), "term"), "query_vec").select("term", "synonym", F.col("cosine").alias("sim"))
 
 
-def _word_vectors(spark, d, size: int = 32):
-    """Word2Vec model and ``vec_id, term, embedding`` of its vocabulary; ids are hashes of the terms."""
-    sentences = _docs(spark, d, "text").filter("text is not null").select(F.explode(F.transform(F.split("text", r"[.!?…\n]+"), lambda s: text.tokens(s))).alias("w")).filter("size(w) > 2")
-    model = feature.Word2Vec(vectorSize=size, windowSize=5, minCount=5, maxIter=1, seed=1, numPartitions=4, inputCol="w", outputCol="v").fit(sentences)
-    return model, materialize(model.getVectors().select(text.md5_hash(F.col("word")).alias("vec_id"), F.col("word").alias("term"), vector_to_array("vector").alias("embedding")), "vectors")
-
-
 @query("word_synonyms")
 def word_synonyms(spark, d):
     """Four nearest words of every hundredth word by Word2Vec."""
     return _synonyms(spark, d)
 
 
+def _variants(spark, d):
+    asked = table(spark, d, "queries")
+    return rank.query_variants(asked, _synonyms(spark, d, asked))
+
+
 @query("query_variants")
 def query_variants(spark, d):
     """Queries rewritten with synonyms."""
+    return _variants(spark, d)
+
+
+@query("query_expanded")
+def query_expanded(spark, d):
+    """Queries with the nearest word of each word appended where it is very similar; stop words get none."""
     asked = table(spark, d, "queries")
-    return rank.query_variants(asked, _synonyms(spark, d, asked), threshold=0.5)
+    stop = tuple(w for words in text.STOP_WORDS.values() for w in words.split())
+    return rank.expand_queries(asked, _synonyms(spark, d, asked), stop=stop)
 
 
 @query("variant_merge")
 def variant_merge(spark, d):
-    """First ranks merged with those of the rewritten queries, weighted by the words replaced."""
+    """First ranks of the queries as asked, merged with those of their rewritten forms, weighted by the words replaced."""
     base = materialize(_first_rank(spark, d), "base")
-    extra = base.withColumn("replaced", F.pmod("doc_id", F.lit(3)).cast("int"))
+    variants = materialize(_variants(spark, d).filter("variant > 0").withColumn("variant_id", F.xxhash64("query_id", "variant")), "variants")
+    pairs = rank.shown(table(spark, d, "clicks")).select("query_id", "doc_id").join(variants.select("query_id", "variant_id"), "query_id")
+    scored = _first_rank(spark, d, pairs.select(F.col("variant_id").alias("query_id"), "doc_id"), variants.select(F.col("variant_id").alias("query_id"), "query"))
+    extra = scored.withColumnRenamed("query_id", "variant_id").join(variants.select("variant_id", "query_id", "replaced"), "variant_id")
     return rank.merge_variants(base, extra).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
-SQL["variant_merge"] = _FIRST.rpartition("p as (")[0] + "v as (select query_id, doc_id, round(score, 6) s, doc_id % 3 n from r) select query_id, doc_id, round(s + s * pow(0.99, n), 5) score from v"
-
-
 @query("doc_vectors_rank")
 def doc_vectors_rank(spark, d):
     """Five best documents of each query by the cosine of mean word vectors."""

@@ -10,18 +10,27 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tessera.operators.crawl import Admission
 
 
+#: Rows that one result chunk of a site has.
+CHUNK = 10_000
+
+
 def admit(urls: DataFrame, ratios: list[float], cum_shares: list[float], shares: list[float], by_cluster: dict[int, float], quota: int) -> DataFrame:
-    """Stream (site, rec_id, cluster) to ``site, rec_id, fetched``; the state of each site survives restarts."""
+    """Stream (site, rec_id, cluster) to ``site, rec_id, fetched``; the state of each site survives restarts.
+
+    Urls are decided trigger by trigger, within a trigger by rec_id; limit the rows of a trigger at the source.
+    """
 
     def run(key, batches, state):
         gate = Admission(ratios, cum_shares, shares, quota)
         if state.exists:
             gate.restore(state.get)
-        for pdf in batches:
-            pdf = pdf.sort_values("rec_id")
+        # a site's new urls of one trigger are decided in the order of their ids, whatever chunks they arrive in
+        arrived = pd.concat(list(batches)).sort_values("rec_id", kind="stable")
+        for at in range(0, len(arrived), CHUNK):
+            pdf = arrived.iloc[at : at + CHUNK]
             fetched = [gate.fetch(by_cluster.get(c, 0.0)) for c in pdf["cluster"]]
-            state.update(gate.state())
             yield pd.DataFrame({"site": pdf["site"], "rec_id": pdf["rec_id"], "fetched": fetched})
+        state.update(gate.state())
 
     return urls.groupBy("site").applyInPandasWithState(run, "site string, rec_id bigint, fetched boolean", "used int, tried int, at int, border double", "append", GroupStateTimeout.NoTimeout)
 

@@ -80,8 +80,8 @@ def test_url_features(spark):
     got = {}
     for r in url.url_features(df).collect():
         got.setdefault(r.key, set()).add(r.feature)
-    assert {"segments:6", "segment_name_0:wiki", "segment_name_1:ка", "segment_[0-9]_2:1", "segment_ext_5:html", "segment_symbol_-:1", "segment_before_:_5:a-b", "param_name:x", "param:x=1", "param_name:y", "url_was_encoded:1", "url_include_param:1", "url_data_large_2010_:1", "data_in_url_path:1", "url_cnt_digit_segments:3"} <= got[1]
-    assert {"segments:0", "not_param:1"} <= got[2] and 3 not in got
+    assert {"segments:6", "segment_name_0:wiki", "segment_name_1:ка", "segment_[0-9]_2:1", "segment_ext_5:html", "segment_special_symbol_-:1", "segment_include_cnt_special_symbol_-:1", "segment_special_symbol_5:1", "segment_ext_exist:", "segment_before_:_5:a-b", "param_name:x", "param:x=1", "param_name:y", "url_was_encoded:1", "url_include_param:1", "url_data_large_2010_:1", "data_in_url_path:1", "url_cnt_digit_segments:3"} <= got[1]
+    assert {"segments:0", "not_param:"} <= got[2] and 3 not in got
     assert "url_last_symbols_/:1" in got[4]
 
 

@@ -185,7 +185,10 @@ def test_ranking(spark):
     clicks = spark.createDataFrame([(1, [1, 2, 9], [2]), (1, [1], None), (2, [3], []), (3, [], None), (3, [1], [1])], "query_id bigint, serp array<bigint>, clicked array<bigint>")
     shown = {(r.query_id, r.doc_id): r.clicked for r in rank.shown(clicks).collect()}
     assert shown == {(1, 1): 0, (1, 2): 1, (1, 9): 0, (2, 3): 0, (3, 1): 1}
-    f = {(r.query_id, r.doc_id): r for r in rank.text_features(rank.shown(clicks), asked, docs, cities=["C"]).collect()}
+    places = spark.createDataFrame([("c",)], "term string")
+    keywords = spark.createDataFrame([(1, "c"), (2, "zzz")], "query_id bigint, keyword string")
+    f = {(r.query_id, r.doc_id): r for r in rank.text_features(rank.shown(clicks), asked, docs, places, keywords).collect()}
+    assert (f[1, 1].part_key_text, f[1, 1].all_key_title, f[2, 3].all_key_text, f[1, 1].len_text, f[1, 1].first_pos_title) == (1.0, 0, 0, 4, rank.NOWHERE)
     assert (1, 9) not in f
     assert (f[1, 1].first_pos_text, f[1, 1].min_dist_text, f[1, 1].part_text, f[1, 1].all_text, f[1, 1].phrase_text, f[1, 1].geo_text) == (0, 1, 1.0, 1, 0, 1)
     assert f[1, 2].first_pos_text == rank.NOWHERE and f[3, 1].part_text == 0 and f[2, 3].year_text == 0
@@ -197,6 +200,10 @@ def test_ranking(spark):
     synonyms = spark.createDataFrame([("a", "b", 0.9), ("a", "d", 0.85), ("a", "e", 0.1), ("1999", "2000", 0.99)], "term string, synonym string, sim double")
     variants = [(r.query, r.replaced) for r in rank.query_variants(asked.filter("query_id = 1"), synonyms).orderBy("variant").collect()]
     assert variants == [("a c", 0), ("b c", 1), ("d c", 1)]
+    grown = {r.query_id: r.query for r in rank.expand_queries(asked, synonyms, top=1, stop=("c",)).collect()}
+    assert grown == {1: "a c b", 2: "zzz 1999 2000", 3: ""}
+    assert {r.term: r.tf for r in rank.term_counts(docs, "doc_id", "text").filter("doc_id = 1").collect()} == {"a": 2, "b": 1, "c": 1}
+    assert {r.term: r.tf for r in rank.term_counts(docs, "doc_id", "text", pairs=True).filter("doc_id = 1").collect()} == {"a b": 1, "b c": 1, "c a": 1}
     scaled = rank.min_max(base, "query_id", ["score"]).collect()
     assert sorted(r.score for r in scaled) == [0.0, 1.0, 1.0]
 
@@ -207,7 +214,7 @@ def test_nearest_matches_brute_force(spark):
     rows = [(k, list(map(float, v))) for k, v in enumerate(x)] + [(100, None), (101, [0.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {}
-    for r in rank.nearest(df, df.filter("vec_id % 10 = 0"), 3, block=4).collect():
+    for r in rank.nearest(df, df.filter("vec_id % 10 = 0"), 3, chunk=7).collect():
         got.setdefault(r.query_vec, {})[r.place] = r.vec_id
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     for q in range(0, 80, 10):
@@ -272,6 +279,17 @@ def test_network_learns(spark):
     assert sum((r.score > 0.5) == (r.y == 1) for r in scored) > 100
 
 
+def test_admission_follows_its_rule():
+    """The turn moves even if the border stays, and a cluster that was waited for too long is passed over."""
+    gate = crawl.Admission([0.9, 0.5, 0.5, 0.1], [0.2, 0.4, 0.6, 1.0], [0.2, 0.2, 0.2, 0.4], 10)
+    turns = []
+    for ratio in [0.1] * 4 + [0.5] * 8 + [0.9] * 8:
+        gate.fetch(ratio)
+        turns.append((gate.at, gate.border))
+    assert turns == sorted(turns, key=lambda t: t[0]) and {t[0] for t in turns} >= {0, 1, 2}
+    assert gate.used <= 10
+
+
 def test_docstream_round_trip(spark, tmp_path):
     records.register(spark)
     rows = [("u1", "тело", None), ("u2", None, "text" * 5000), ("u3", "", "")]
