@@ -1,17 +1,20 @@
 """Length-prefixed record streams: a 4-byte little-endian size, then a message with url (1), body (2) and text (3).
 
 ``DocStreamSource`` is a Python data source (``spark.read.format("docstream").load(path)``), one partition
-a file, gzip by suffix. A file is read record by record; a torn record at its end ends the stream.
+a file, gzip by suffix. A file is read record by record from the file system its path names (a plain path or
+any URI that Arrow knows, such as file:, hdfs: or s3:), so driver and executors needn't share a disk. A torn
+record at a file's end fails the read; with the option ``torn`` set to ``skip`` it ends the file.
 """
 
 from __future__ import annotations
 
-import glob
-import gzip
-import os
+import fnmatch
+import posixpath
 import struct
 from collections.abc import Iterator
 
+from pyarrow import fs
+
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "url string, body string, text string"
@@ -65,31 +68,61 @@ def encode(url: str | None, body: str | None, text: str | None) -> bytes:
     return out
 
 
-def read_records(path: str) -> Iterator[tuple]:
-    with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
-        while len(head := f.read(4)) == 4:
-            (size,) = struct.unpack("<i", head)
-            data = f.read(size)
-            if len(data) < size:
-                return
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def read_records(path: str, torn: str = "fail") -> Iterator[tuple]:
+    system, inner = file_system(path)
+    with system.open_input_stream(inner, compression="gzip" if inner.endswith(".gz") else None) as f:
+        while head := _exactly(f, 4):
+            data = _exactly(f, struct.unpack("<i", head)[0]) if len(head) == 4 else None
+            if data is None or len(data) < struct.unpack("<i", head)[0]:
+                if torn == "skip":
+                    return
+                raise ValueError(f"{path} ends within a record")
             yield decode(data)
 
 
+def _exactly(f, size: int) -> bytes:
+    """``size`` bytes, fewer only at the end."""
+    out = b""
+    while len(out) < size and (part := f.read(size - len(out))):
+        out += part
+    return out
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
 
 
+def list_files(path: str) -> list[str]:
+    """Files of a folder, or those that a pattern in the last part of the path names; hidden ones are left out."""
+    system, inner = file_system(path)
+    prefix = path[: len(path) - len(inner)]
+    folder, name = posixpath.split(inner.rstrip("/"))
+    pattern = name if any(c in name for c in "*?[") else None
+    if pattern is None:
+        info = system.get_file_info(inner)
+        if info.type == fs.FileType.File:
+            return [path]
+        folder = inner
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    names = sorted(x.path for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")) and (pattern is None or fnmatch.fnmatch(x.base_name, pattern)))
+    return [prefix + n for n in names]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.paths = options["path"].split(",")
+        self.paths, self.torn = options["path"].split(","), options.get("torn", "fail")
 
     def partitions(self):
-        found = [p for path in self.paths for p in sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))]
-        return [_File(p) for p in found if os.path.isfile(p) and not os.path.basename(p).startswith(("_", "."))]
+        return [_File(p) for path in self.paths for p in list_files(path)]
 
     def read(self, partition):
-        yield from read_records(partition.value)
+        yield from read_records(partition.value, self.torn)
 
 
 class _Done(WriterCommitMessage):
@@ -104,13 +137,14 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{context.partitionId():05d}.gz")
-        with gzip.open(f"{name}.{context.attemptNumber()}.tmp", "wb") as f:
+        system, folder = file_system(self.path)
+        system.create_dir(folder, recursive=True)
+        name = posixpath.join(folder, f"part-{context.partitionId():05d}.gz")
+        with system.open_output_stream(f"{folder}/.{context.partitionId()}-{context.attemptNumber()}", compression="gzip") as f:
             for row in rows:
                 data = encode(*(row[c] for c in FIELDS))
                 f.write(struct.pack("<i", len(data)) + data)
-        os.replace(f"{name}.{context.attemptNumber()}.tmp", name)
+        system.move(f"{folder}/.{context.partitionId()}-{context.attemptNumber()}", name)
         return _Done()
 
 

@@ -300,7 +300,10 @@ def test_docstream_round_trip(spark, tmp_path):
     with open(tmp_path / "torn.bin", "wb") as f:
         data = records.encode("a", "b", "c")
         f.write(len(data).to_bytes(4, "little") + data + (99).to_bytes(4, "little") + b"xx")
-    assert list(records.read_records(str(tmp_path / "torn.bin"))) == [("a", "b", "c")]
+    assert list(records.read_records(str(tmp_path / "torn.bin"), "skip")) == [("a", "b", "c")]
+    with pytest.raises(ValueError):
+        list(records.read_records(str(tmp_path / "torn.bin")))
+    assert spark.read.format("docstream").option("torn", "skip").load(f"file://{tmp_path}/torn.*").count() == 1
 
 
 def test_file_sources(spark, tmp_path):
