@@ -97,9 +97,11 @@ def visible_text(col, keep_head: bool = False) -> Column:
     return F.trim(out)
 
 
-def visible_text_sql(col: str) -> str:
+def visible_text_sql(col: str, keep_head: bool = False) -> str:
     out = col
     for pattern, by in HTML_STEPS:
+        if keep_head and ("head" in pattern or "title" in pattern):
+            continue
         out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     return f"trim({out})"
 

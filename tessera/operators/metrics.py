@@ -91,3 +91,27 @@ def bootstrap_sample(df: DataFrame, key: str, seed: int = 1) -> DataFrame:
     u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     times = sum((u > p).cast("int") for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582))
     return df.withColumn("_n", times).filter("_n > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+
+
+def harness(rates: DataFrame) -> DataFrame:
+    """``known_rate, fetched_rate, f1``: means over the runs (known_rate, fetched_rate), and the harmonic mean of the means."""
+    mean = rates.agg(F.avg("known_rate").alias("q"), F.avg("fetched_rate").alias("f"))
+    return mean.select(F.round("q", 6).alias("known_rate"), F.round("f", 6).alias("fetched_rate"), F.round(safe_divide(2 * F.col("q") * F.col("f"), F.col("q") + F.col("f")), 6).alias("f1"))
+
+
+def repeated_recall(features: DataFrame, rows: DataFrame, key: str, feature: str, repeats: int, share: float) -> DataFrame:
+    """``recall, size_ratio``: over ``repeats`` random halves of the rows, how well the half's frequent features reproduce the frequent ones of all.
+
+    A feature is frequent on more than ``share`` of the rows. All halves are counted in one aggregation: a row's halves are
+    bits of an array, and a feature's counts by half add up element by element in as many columns.
+    """
+    from functools import reduce
+
+    inside = lambda r: (F.pmod(text.md5_hash(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(r)))), F.lit(2)) == 0).cast("bigint")
+    sizes = rows.agg(F.count("*").alias("all"), *[F.sum(inside(r)).alias(f"h{r}") for r in range(repeats)]).first()  # one row
+    drawn = rows.select(key, *[inside(r).alias(f"h{r}") for r in range(repeats)])
+    counts = features.join(drawn, key).groupBy(feature).agg(F.count("*").alias("all"), *[F.sum(f"h{r}").alias(f"h{r}") for r in range(repeats)])
+    golden = F.col("all") > share * sizes["all"]
+    frequent = [F.col(f"h{r}") > share * sizes[f"h{r}"] for r in range(repeats)]
+    totals = counts.agg(F.sum(golden.cast("bigint")).alias("golden"), F.sum(reduce(lambda a, b: a + b, [(golden & f).cast("bigint") for f in frequent])).alias("hits"), F.sum(reduce(lambda a, b: a + b, [f.cast("bigint") for f in frequent])).alias("found"))
+    return totals.select(F.round(F.col("hits") / F.col("golden") / repeats, 6).alias("recall"), F.round(F.col("found") / F.col("golden") / repeats, 6).alias("size_ratio"))

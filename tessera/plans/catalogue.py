@@ -1,6 +1,7 @@
 """All queries of the core by name, and their SQL."""
 
-from tessera.plans import rank_queries, search_queries
+from tessera.plans import corpus_queries, rank_queries, search_queries
 
-QUERIES = {**search_queries.QUERIES, **rank_queries.QUERIES}
-SQL = {**search_queries.SQL, **rank_queries.SQL}
+_MODULES = (search_queries, rank_queries, corpus_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

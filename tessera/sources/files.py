@@ -46,9 +46,10 @@ def cached_pages(spark: SparkSession, path: str, cache: str, reader=labelled_pag
     return spark.read.parquet(cache)
 
 
-def gazetteer(spark: SparkSession, path: str, extra: tuple[str, ...] = (), encoding: str = "windows-1251") -> DataFrame:
-    """``term``: distinct lower-case names of a file of one name a line, and further ones."""
-    names = spark.read.option("encoding", encoding).csv(path, schema="name string", sep="\n").select(F.lower(F.trim("name")).alias("term"))
+def gazetteer(spark: SparkSession, path: str, extra: tuple[str, ...] = (), encoding: str = "cp1251") -> DataFrame:
+    """``term``: distinct lower-case names of a file of one name a line in a single-byte encoding, and further ones."""
+    latin = spark.read.option("encoding", "iso-8859-1").csv(path, schema="name string", sep="\n")
+    names = latin.select(F.lower(F.trim(F.translate("name", _HIGH, _table(encoding)))).alias("term"))
     more = spark.createDataFrame([(x.lower(),) for x in extra], "term string")
     return names.unionByName(more).filter("term <> ''").distinct()
 
