@@ -7,6 +7,7 @@ running sums over the sorted values give every split's gain. No node's rows are
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,20 +80,24 @@ class Forest:
         return rows.withColumn("prediction", sum(parts[1:], parts[0]) / float(len(parts)))
 
 
-def fit(rows: DataFrame, n_features: int, steps: int = 10, depth: int = 3, shrinkage: float = 0.05, min_leaf: int = 1, bags: int = 1, row_share: float = 1.0, column_share: float = 1.0, oblivious: bool = False, seed: int = 1) -> Forest:
+def fit(rows: DataFrame, n_features: int, steps: int = 10, depth: int = 3, shrinkage: float = 0.05, min_leaf: int = 1, bags: int = 1, row_share: float = 1.0, column_share: float = 1.0, oblivious: bool = False, seed: int = 1, replace: bool = False) -> Forest:
     """Boosted trees on ``rows`` (row bigint, x array<double>, y double), ``bags`` of them at a time.
 
     steps=1, bags=1 is one tree; bags=1 boosting on residuals, the first tree unshrunk; more bags average
-    boostings on samples of rows (without replacement, by a hash of the row) and of columns, which the
-    trees remember. ``oblivious`` gives one split to a whole level and leaf values scaled by n / (2n + 1).
+    boostings on samples of rows and of columns, which the trees remember. Rows are drawn by a hash of the row,
+    without replacement, or with it (``replace``): then a row comes as often as a Poisson draw of mean ``row_share`` says. ``oblivious`` gives one split to a whole level and leaf values scaled by n / (2n + 1).
     Trees have at most bags * steps * 2^depth nodes and are kept on the driver; rows never are.
     """
-    if row_share < 1.0:
+    if replace:
+        share = F.lit(True)
+    elif row_share < 1.0:
         share = F.pmod(md5_hash(F.concat_ws("|", "row", "bag", F.lit(seed))), F.lit(1_000_000)) < int(row_share * 1_000_000)
     else:
         share = F.lit(True)
     columns = {b: _columns(n_features, column_share, b, seed) for b in range(bags)}
     state = rows.select("row", "x", F.col("y").cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag")).filter(share)
+    if replace:
+        state = state.withColumn("_times", _poisson(row_share, seed)).filter("_times > 0").withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_draw")
     state = materialize(state.withColumn("r", F.col("y")), "bags")
     splits, leaves = {}, {}
     for step in range(steps):
@@ -131,6 +136,18 @@ def fit(rows: DataFrame, n_features: int, steps: int = 10, depth: int = 3, shrin
     return forest
 
 
+def _poisson(mean: float, seed: int) -> Column:
+    """A Poisson draw from a hash of row and bag."""
+    u = (F.pmod(F.xxhash64("row", "bag", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    term = total = math.exp(-mean)
+    bounds = []
+    for k in range(1, 40):
+        bounds.append(total)
+        term *= mean / k
+        total += term
+    return sum((u > p).cast("int") for p in bounds if p < 1 - 1e-12)
+
+
 def _columns(n: int, share: float, bag: int, seed: int) -> list[int]:
     import random
 

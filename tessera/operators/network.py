@@ -76,13 +76,32 @@ class Rbm:
                 self.w, self.b, self.c = self.w + parts[0].reshape(shapes[0]), self.b + parts[1], self.c + parts[2]
         return self
 
+    def free_energy(self, v):
+        z = v @ self.w + self.c
+        return -(v @ self.b) - np.logaddexp(0, z).sum(axis=1)
+
+    def pseudo_likelihood(self, rows: DataFrame) -> float:
+        """Mean log-likelihood of one entry of each row given the others, times the entries: a monitor of the training of binary units."""
+
+        def gradient(v, _, ids):
+            at = ids.astype(np.int64) % v.shape[1]
+            flipped = v.copy()
+            flipped[np.arange(len(v)), at] = 1 - flipped[np.arange(len(v)), at]
+            return np.array([-np.logaddexp(0, self.free_energy(v) - self.free_energy(flipped)).sum() * v.shape[1]])
+
+        total, n = _sum(rows.select("row", "x"), gradient, 1)
+        return float(total[0] / max(n, 1)) if n else 0.0
+
     def reconstruction_error(self, rows: DataFrame) -> float:
         total, n = _sum(rows.select("row", "x"), lambda v, _, ids: np.array([((v - self.visible(self.hidden(v))) ** 2).sum()]), 1)
         return float(total[0] / max(n, 1))
 
 
 class Network:
-    """Feed-forward network for one output; ``pretrain`` sets the layers by stacked RBMs, ``fit`` runs minibatch descent."""
+    """Feed-forward network; ``pretrain`` sets the layers by stacked RBMs, ``fit`` runs minibatch descent.
+
+    One output is a sigmoid with the loss nll or mse; several are a softmax over classes 0, 1, ... with the loss nll.
+    """
 
     def __init__(self, sizes: list[int], activation: str = "tanh", loss: str = "nll", seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -93,9 +112,13 @@ class Network:
         out = [x]
         for k, (w, b) in enumerate(self.layers):
             last = k == len(self.layers) - 1
-            out.append(ACTIVATIONS["sigmoid" if last else self.activation][0](out[-1] @ w + b))
+            out.append(ACTIVATIONS[self.output if last else self.activation][0](out[-1] @ w + b))
         return out
 
+    @property
+    def output(self) -> str:
+        return "sigmoid" if len(self.layers[-1][1]) == 1 else "softmax"
+
     def pretrain(self, rows: DataFrame, **options) -> "Network":
         """Greedy: each layer is an RBM on the outputs of the ones below, over all rows."""
         for k, (w, _) in enumerate(self.layers[:-1]):
@@ -121,8 +144,10 @@ class Network:
 
             def gradient(x, y, _):
                 out = self.forward(x)
-                delta = out[-1][:, 0] - y if self.loss == "nll" else (out[-1][:, 0] - y) * ACTIVATIONS["sigmoid"][1](out[-1][:, 0])
-                delta, parts = delta[:, None], []
+                wanted = y[:, None] if self.output == "sigmoid" else (y[:, None] == np.arange(out[-1].shape[1])).astype(float)
+                delta, parts = out[-1] - wanted, []
+                if self.loss == "mse":
+                    delta = delta * ACTIVATIONS["sigmoid"][1](out[-1])
                 for k in range(len(self.layers) - 1, -1, -1):
                     parts = [(out[k].T @ delta).ravel(), delta.sum(axis=0), *parts]
                     if k:
@@ -140,11 +165,12 @@ class Network:
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """``row, y, score``."""
+        """``row, y, score``: the output, or the likeliest class of several."""
+        decide = (lambda a: a[:, 0]) if self.output == "sigmoid" else (lambda a: a.argmax(axis=1).astype(float))
 
         def run(batches):
             for pdf in batches:
                 x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
-                yield pd.DataFrame({"row": pdf["row"], "y": pdf["y"], "score": self.forward(x)[-1][:, 0] if len(pdf) else []})
+                yield pd.DataFrame({"row": pdf["row"], "y": pdf["y"], "score": decide(self.forward(x)[-1]) if len(pdf) else []})
 
         return rows.select("row", F.col("y").cast("double").alias("y"), "x").mapInPandas(run, "row bigint, y double, score double")

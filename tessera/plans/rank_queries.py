@@ -553,14 +553,38 @@ def _curve(**options):
 QUERIES["cart_tree"] = _curve(steps=1, depth=3)
 QUERIES["boosting_curve"] = _curve(steps=4, depth=2, shrinkage=0.3)
 QUERIES["bagboo_curve"] = _curve(steps=2, depth=2, shrinkage=0.3, bags=3, row_share=0.7, column_share=0.67)
+QUERIES["bagboo_replacement_curve"] = _curve(steps=2, depth=2, shrinkage=0.3, bags=3, row_share=1.0, replace=True)
 QUERIES["oblivious_curve"] = _curve(steps=2, depth=2, shrinkage=0.5, oblivious=True)
 
 
+@query("heldout_curves")
+def heldout_curves(spark, d):
+    """Errors after each step on the rows the trees were grown on and on held-out ones, for plain and oblivious trees."""
+    rows, out = materialize(_design(spark, d), "design"), None
+    train, test = rows.filter(metrics.fold("row", 10) < 7), rows.filter(metrics.fold("row", 10) >= 7)
+    for kind, oblivious in (("plain", False), ("oblivious", True)):
+        forest = boost.fit(train, 3, steps=3, depth=2, shrinkage=0.4, oblivious=oblivious)
+        for part, on in (("train", train), ("test", test)):
+            errors = boost.curve(forest, on).select(F.lit(kind).alias("trees"), F.lit(part).alias("part"), "steps", "mse")
+            out = errors if out is None else out.unionByName(errors)
+    return out
+
+
+@query("feature_importances")
+def feature_importances(spark, d):
+    """Importance of each feature in a boosted model and a forest; each model's sum to one."""
+    rows = materialize(_design(spark, d).select("row", "y", array_to_vector("x").alias("features")), "vectors")
+    found = []
+    for name, model in (("boosted", regression.GBTRegressor(labelCol="y", maxIter=5, maxDepth=2, seed=1)), ("forest", regression.RandomForestRegressor(labelCol="y", numTrees=10, maxDepth=4, seed=1))):
+        found += [(name, k, round(float(v), 6)) for k, v in enumerate(model.fit(rows).featureImportances.toArray())]  # a number per feature
+    return spark.createDataFrame(found, "model string, feature int, importance double")
+
+
 @query("bagboo_grid")
 def bagboo_grid(spark, d):
     """Errors over a grid of boosting steps and bags with the same product."""
     rows, out = materialize(_design(spark, d), "design"), None
-    for steps, bags in ((2, 1), (1, 2)):
+    for steps, bags in ((4, 1), (2, 2), (1, 4)):
         part = boost.curve(boost.fit(rows, 3, steps=steps, bags=bags, depth=2, row_share=0.7), rows).filter(F.col("steps") == steps).select("steps", F.lit(bags).alias("bags"), "mse")
         out = part if out is None else out.unionByName(part)
     return out
@@ -582,16 +606,17 @@ def forest_grid(spark, d):
     """Cross-validated errors over a grid of forests, and the importance of the features of the best."""
     rows = materialize(_design(spark, d).select("row", "y", array_to_vector("x").alias("features")), "vectors")
     model = regression.RandomForestRegressor(labelCol="y", seed=1)
-    grid = tuning.ParamGridBuilder().addGrid(model.numTrees, [5, 10]).addGrid(model.maxDepth, [2, 3]).build()
+    grid = tuning.ParamGridBuilder().addGrid(model.numTrees, [5, 10, 20]).addGrid(model.maxDepth, [2, 3, 4]).build()
     found = tuning.CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=evaluation.RegressionEvaluator(labelCol="y"), numFolds=3, seed=1, parallelism=2).fit(rows)
     params = [(g[model.numTrees], g[model.maxDepth], float(e)) for g, e in zip(grid, found.avgMetrics)]
     return spark.createDataFrame(params, "trees int, depth int, rmse double").select("trees", "depth", F.round("rmse", 3).alias("rmse"))
 
 
-def _spam_vectors(spark, d, terms: int = 256):
+def _spam_vectors(spark, d):
+    """Labelled pages with the binary vector of all terms within the limits of document frequency; these bound the vocabulary."""
     pages = table(spark, d, "spam_pages").filter("mark is not null").select("id", "mark", files.decoded(F.col("page_b64")).alias("page")).filter("page is not null")
     words = pages.select(F.col("id").alias("row"), F.col("mark").cast("double").alias("y"), F.filter(text.tokens(text.visible_text("page"), text.ALNUM), lambda w: F.char_length(w) > 1).alias("w")).filter("size(w) > 0")
-    counts = feature.CountVectorizer(inputCol="w", outputCol="features", vocabSize=terms, minDF=0.02, maxDF=0.9, binary=True).fit(words)
+    counts = feature.CountVectorizer(inputCol="w", outputCol="features", vocabSize=1 << 18, minDF=0.02, maxDF=0.9, binary=True).fit(words)
     return materialize(counts.transform(words).select("row", "y", "features", vector_to_array("features").alias("x")), "bags")
 
 
@@ -616,6 +641,26 @@ def deep_classifier(spark, d):
     return metrics.precision_recall(metrics.confusion(net.predict(test).select((F.col("y") == 1).alias("label"), "score"), [0.5]))
 
 
+@query("rbm_monitor")
+def rbm_monitor(spark, d):
+    """Reconstruction error and pseudo-likelihood of an RBM on the labelled pages as its training goes on."""
+    rows = _spam_vectors(spark, d).select("row", "x")
+    machine, out = network.Rbm(len(rows.first()[1]), 16), []
+    for epoch in range(3):
+        out.append((epoch, round(machine.reconstruction_error(rows), 4), round(machine.pseudo_likelihood(rows), 4)))
+        machine.fit(rows, epochs=1)
+    return spark.createDataFrame(out, "epoch int, error double, pseudo_likelihood double")
+
+
+@query("softmax_classifier")
+def softmax_classifier(spark, d):
+    """Share of the held-out labelled pages that a network with a softmax output puts into their class."""
+    rows = _spam_vectors(spark, d)
+    train, test = rows.filter(metrics.fold("row", 5) > 0).select("row", "x", "y"), rows.filter(metrics.fold("row", 5) == 0)
+    net = network.Network([len(rows.select("x").first()[0]), 12, 2]).fit(train, iterations=12)
+    return net.predict(test).agg(F.count("*").alias("n"), F.round(F.avg((F.col("score") == F.col("y")).cast("double")), 4).alias("accuracy"))
+
+
 @query("vec_topk", "with q as (select vec_id query_vec, embedding e from embeddings where vec_id % 100 = 0), s as (select query_vec, vec_id, round(list_cosine_similarity(cast(e as double[]), cast(embedding as double[])), 6) cosine from q, embeddings where vec_id <> query_vec), r as (select *, row_number() over (partition by query_vec order by cosine desc, vec_id) place from s) select query_vec, vec_id, cosine, cast(place as int) place from r where place <= 5")
 def vec_topk(spark, d):
     vectors = table(spark, d, "embeddings")

@@ -174,6 +174,8 @@ def test_trees_and_boosting(spark):
     assert errors == sorted(errors, reverse=True)
     bagged = boost.fit(rows, 3, steps=1, depth=2, bags=2, row_share=0.8, column_share=0.67)
     assert {f for (b, _), s in bagged.splits.items() for f, _ in s.values() if f not in bagged.columns[b]} == set()
+    drawn = boost.fit(rows, 3, steps=1, depth=2, bags=2, replace=True)
+    assert len(drawn.leaves) == 2 and drawn.leaves[0, 0] != drawn.leaves[1, 0]
     flat = boost.fit(rows, 3, steps=1, depth=2, oblivious=True)
     level = {flat.splits[0, 0].get(n) for n in (2, 3)}
     assert len(level) == 1
@@ -277,6 +279,15 @@ def test_network_learns(spark):
     net = network.Network([6, 5, 1]).pretrain(rows, epochs=1).fit(rows, iterations=25, rate=2.0, share=1.0)
     scored = net.predict(rows).collect()
     assert sum((r.score > 0.5) == (r.y == 1) for r in scored) > 100
+    classes = network.Network([6, 5, 2]).fit(rows, iterations=25, rate=2.0, share=1.0)
+    assert np.allclose(classes.forward(x)[-1].sum(axis=1), 1)
+    assert sum(r.score == r.y for r in classes.predict(rows).collect()) > 100
+    small = network.Rbm(3, 2, seed=3)
+    every = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)], dtype=float)
+    p = np.exp(-small.free_energy(every))
+    exact = lambda v, i: np.log(p[int(v @ [4, 2, 1])] / (p[int(v @ [4, 2, 1])] + p[int(np.abs(v - np.eye(3)[i]) @ [4, 2, 1])]))
+    want = np.mean([3 * exact(v, k % 3) for k, v in enumerate(every)])
+    assert abs(small.pseudo_likelihood(design(spark, every, every[:, 0])) - want) < 1e-9
 
 
 def test_admission_follows_its_rule():
