@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -24,11 +24,22 @@ def sketches(docs: DataFrame, key: str, col: str = "text", width: int = 5, n: in
     else the document has no sketch and no row. The last window is left out unless ``include_last``.
     """
     made = text.windows(text.tokens(col, lower=False), width, include_last)
-    hashes = docs.select(F.col(key).alias("key"), F.explode(made).alias("s")).select("key", text.md5_hash(F.col("s")).alias("h"))
-    minima = hashes.groupBy("key", F.pmod("h", F.lit(n)).alias("b")).agg(F.min("h").alias("m")).groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("sketch"))
-    short = minima.filter(F.size("sketch") < n).select("key")
-    distinct = hashes.join(short, "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("h")).alias("u")).filter(F.size("u") >= n)
-    return minima.filter(F.size("sketch") == n).unionByName(distinct.select("key", F.slice("u", 1, n).alias("sketch")))
+    hashes = F.transform(made, text.md5_hash)
+
+    def sketch(h: Column) -> Column:
+        # sorted by class and value, the first of each class is its minimum
+        return text.let(F.array_sort(F.transform(h, lambda x: F.pmod(x, F.lit(n)) * F.lit(1 << 32) + x)), lambda s: text.let(_firsts(s), lambda m: _either(m, h)))
+
+    def _firsts(s: Column) -> Column:
+        new = F.filter(s, lambda v, i: (i == 0) | (F.shiftright(v, 32) != F.shiftright(F.get(s, i - 1), 32)))
+        return F.transform(new, lambda v: v.bitwiseAND(F.lit((1 << 32) - 1)))
+
+    def _either(minima: Column, h: Column) -> Column:
+        distinct = F.array_sort(F.array_distinct(h))
+        return F.when(F.size(minima) == n, F.array_sort(minima)).when(F.size(distinct) >= n, F.slice(distinct, 1, n))
+
+    # a document is a row: nothing is shuffled, and its hashes are computed once
+    return docs.select(F.col(key).alias("key"), text.let(hashes, sketch).alias("sketch")).filter("sketch is not null")
 
 
 def classes(sketched: DataFrame) -> DataFrame:
