@@ -188,12 +188,17 @@ def grid_pairs(rows: DataFrame, key: str, value: str, order=None) -> DataFrame:
 
     A key on more than ``HOT_ROWS`` rows and more than one of ``HOT_SHARE`` of all is cut into cells of a grid: its
     rows are hashed to g groups, and every pair of groups is a cell of its own, so no task sees more than two groups.
-    Of such keys there are fewer than ``HOT_SHARE``; their list, which is broadcast, is bounded by that.
+    Of such keys there are fewer than ``HOT_SHARE``; their list, which is broadcast, is bounded by that. Keys are first
+    counted by hashed buckets, of which there are so few that the partial counts are small; only the keys of a bucket
+    that is large enough to hold a hot one are counted themselves.
     """
     rows = rows.select(F.col(key).alias("key"), F.col(value).alias("a"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS)
-    total = rows.agg(F.count("*").alias("n")).scalar()
-    hot = sizes.filter(F.col("n") * HOT_SHARE > total).select("key", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("g"))
+    total = rows.count()
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(64, 2 * total // least))).alias("bucket")
+    full = rows.groupBy(bucket).agg(F.count("*").alias("n")).filter(F.col("n") > least).select("bucket")
+    suspects = rows.select("key", bucket).join(F.broadcast(full), "bucket", "left_semi")
+    hot = suspects.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("key", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("g"))
     placed = rows.join(F.broadcast(hot), "key", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("a"), F.col("g")).cast("int"))
     # cell (low, high) holds the pairs between these two groups
     left = placed.select("key", "a", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")).select("key", "a", "i", F.least("i", "o").alias("low"), F.greatest("i", "o").alias("high"))
