@@ -48,37 +48,40 @@ def _blocks(emit, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, block, chars, cut = None, [], 0, False
+        found: list[tuple] = []
 
-        def close(last: bool) -> list[tuple]:
-            """Rows of the finished block; ``last`` tells whether the host's rows in this task end with it."""
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            """The finished block; ``last`` tells whether the host's rows in this task end with it."""
             site, salt, salts = current
             wrapper = Wrapper.of([page for _, _, _, page in block])
             if salts == 1 and last and not cut:
-                layout, rows = Layout(wrapper), []
+                layout = Layout(wrapper)
                 for rec_id, url, _, page in block:
-                    rows += [(site, None, None, None, None, None, *r) for r in emit(rec_id, url, page, layout.label(page))]
-                return rows
-            nothing = (None,) * len(names)
-            return [(site, None, None, None, None, wrapper.dumps(), *nothing)] + [(site, salt, rec_id, url, body, None, *nothing) for rec_id, url, body, _ in block]
+                    found.extend(emit(rec_id, url, page, layout.label(page)))
+                return
+            rows = [(site, None, None, None, None, wrapper.dumps())] + [(site, salt, rec_id, url, body, None) for rec_id, url, body, _ in block]
+            yield _batch(out_names, [*zip(*rows), *([[None] * len(rows)] * len(names))])
+
+        def results() -> Iterator[pa.RecordBatch]:
+            if found:
+                yield _batch(out_names, [*([[None] * len(found)] * 6), *zip(*found)])
+                found.clear()
 
-        rows: list[tuple] = []
         for batch in batches:
             for site, salt, salts, rec_id, url, body in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 key = (site, salt, salts)
                 if key != current or len(block) >= 2 * BLOCK_PAGES or chars > BLOCK_CHARS:
                     if block:
-                        rows += close(key != current)
+                        yield from close(key != current)
                     cut = key == current
                     current, block, chars = key, [], 0
                 block.append((rec_id, url, body, _page(body)))
                 chars += len(body)
-            if len(rows) > 2_000:
-                yield _batch(out_names, zip(*rows))
-                rows = []
+            if len(found) > 20_000:
+                yield from results()
         if block:
-            rows += close(True)
-        if rows:
-            yield _batch(out_names, zip(*rows))
+            yield from close(True)
+        yield from results()
 
     return run
 

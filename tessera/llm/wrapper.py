@@ -60,7 +60,7 @@ UNSEEN = {"script", "style", "title", "form", "button"}
 class Line:
     """One line of a body: its text, its token, and the mark-up facts the labels need."""
 
-    __slots__ = ("raw", "text", "token", "_hash")
+    __slots__ = ("raw", "text", "token", "hides", "_hash")
 
     def __init__(self, raw: str):
         self._hash = None
@@ -68,6 +68,7 @@ class Line:
         if "<" not in raw:
             self.text = SPACE.sub(" ", html.unescape(raw) if "&" in raw else raw).strip()
             self.token = _plain_token(self.text)
+            self.hides = ""
             return
         if "<!--" in raw or "<button" in raw:
             raw = COMMENT.sub("", raw)
@@ -84,6 +85,7 @@ class Line:
             text = html.unescape(text)
         self.text = SPACE.sub(" ", text).strip()
         self.token = " ".join(names) + ("#" if self.text else "") + (_links(raw, self.text) if "<a" in raw else "")
+        self.hides = _unseen(self.token)
 
     @property
     def hash(self) -> str:
@@ -213,15 +215,15 @@ class Node:
 class Page:
     """A parsed page: its lines, its token stream (runs of lines with the same token), headline and closing line by its own mark-up."""
 
-    __slots__ = ("body", "lines", "marked", "key", "head", "close", "runs", "tokens")
+    __slots__ = ("body", "lines", "marked", "key", "head", "close", "runs", "tokens", "by")
 
     def __init__(self, body: str):
         self.body, self.lines, self.marked = body, parse(body), "<" in body
         self.key = page_key(self.lines)
-        self.head = self.close = None
+        self.head = self.close = self.by = None
         title = page_title(body) if self.marked else ""
         if title:
-            self.head = next((k for k, x in enumerate(self.lines) if x.text == title and not _unseen(x.token) and x.token[-1:] not in "@>"), None)
+            self.head = next((k for k, x in enumerate(self.lines) if x.text == title and not x.hides and x.token[-1:] not in "@>"), None)
         if self.head is not None:
             self.close = closing_line(self.lines, self.head)
 
@@ -234,9 +236,8 @@ class Page:
             token = line.token
             if not token:
                 continue
-            if unseen or _unseen(token):  # scripts and styles over several lines are one token
-                if not unseen:
-                    unseen = _unseen(token)
+            if unseen or line.hides:  # scripts and styles over several lines are one token
+                unseen = unseen or line.hides
                 if f"/{unseen}" in token or unseen == "title":
                     unseen = ""
                 token = "unseen"
@@ -312,7 +313,8 @@ class Wrapper:
     def _fold(self, page: Page, constant: set[str], rare: set[str]) -> None:
         tokens = page.stream(constant)
         if rare:
-            tokens = tuple(_general(t) if t in rare else t for t in tokens)
+            tokens = page.tokens = tuple(_general(t) if t in rare else t for t in tokens)
+        page.by = self
         for node, run in zip(self.align(tokens), page.runs):
             node.n += 1
             node.runs += len(run) > 1
@@ -323,6 +325,7 @@ class Wrapper:
 
     def merge(self, other: "Wrapper") -> None:
         """Fold another wrapper of the same host in."""
+        self._known.clear()
         self.pages += other.pages
         for text, (count, keys) in other.texts.seen.items():
             self.texts.add(text, count, keys)
@@ -417,7 +420,8 @@ class Layout:
 
     def label(self, page: Page) -> list[tuple[int, int]]:
         """(line, TEXT) of the lines of the page's own content, the headline first, and (line, LEADS) of the links among them."""
-        tokens = page.stream(self.constant)
+        # a page that was folded into this very wrapper keeps its tokens and its alignment
+        tokens = page.tokens if page.by is self.wrapper else page.stream(self.constant)
         nodes = [self.at.get(id(n), -1) if n else -1 for n in self.wrapper.align(tokens, grow=False)]
         found = self._marked(page, nodes) if page.marked else []
         return found or self._plain(page, nodes)
