@@ -163,9 +163,9 @@ class NearDuplicates:
         """``rec_id_1, rec_id_2``: all row pairs (smaller first) with different url that meet the threshold."""
         m = lambda n: self.members.select(F.col("rec_id").alias(f"r{n}"), F.col("url").alias(f"u{n}"), F.col("rep").alias(f"rep{n}"))
         other_url = ~(F.col("u1").eqNullSafe(F.col("u2")) & F.col("u1").isNotNull())
-        copies = self.members.select("rep", F.struct("rec_id", "url").alias("row"))
+        copies = self.members.select("rep", F.struct("rec_id", "url", "rep").alias("row"))
         unequal = ~(F.col("a.url").eqNullSafe(F.col("b.url")) & F.col("a.url").isNotNull())
-        within = grid_pairs(copies, "rep", "row", F.col("a.rec_id") < F.col("b.rec_id")).filter(unequal).select(F.col("a.rec_id").alias("r1"), F.col("b.rec_id").alias("r2"))
+        within = grid_pairs(copies, "rep", "row", (F.col("a.rec_id") < F.col("b.rec_id")) & (F.col("a.rep") == F.col("b.rep"))).filter(unequal).select(F.col("a.rec_id").alias("r1"), F.col("b.rec_id").alias("r2"))
         between = (
             self.links()
             .join(m(1), F.col("a") == F.col("rep1"))
@@ -184,7 +184,10 @@ class NearDuplicates:
 
 
 def grid_pairs(rows: DataFrame, key: str, value: str, order=None) -> DataFrame:
-    """``a, b``: the pairs a < b of ``value`` (or as ``order`` says) that share ``key``, once for each key they share.
+    """``a, b``: the pairs a < b of ``value`` (or as ``order`` says) that share ``key`` (an integer), once for each key they share.
+
+    Cells of hot keys are named by 64-bit hashes, so a pair without a common key may come out once in a great while; where
+    that matters ``order`` must compare the keys.
 
     A key on more than ``HOT_ROWS`` rows and more than one of ``HOT_SHARE`` of all is cut into cells of a grid: its
     rows are hashed to g groups, and every pair of groups is a cell of its own, so no task sees more than two groups.
@@ -199,12 +202,16 @@ def grid_pairs(rows: DataFrame, key: str, value: str, order=None) -> DataFrame:
     full = rows.groupBy(bucket).agg(F.count("*").alias("n")).filter(F.col("n") > least).select("bucket")
     suspects = rows.select("key", bucket).join(F.broadcast(full), "bucket", "left_semi")
     hot = suspects.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("key", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("g"))
-    placed = rows.join(F.broadcast(hot), "key", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("a"), F.col("g")).cast("int"))
-    # cell (low, high) holds the pairs between these two groups
-    left = placed.select("key", "a", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")).select("key", "a", "i", F.least("i", "o").alias("low"), F.greatest("i", "o").alias("high"))
-    right = left.select("key", "low", "high", F.col("a").alias("b"), F.col("i").alias("j"))
-    across = (F.col("i") != F.col("j")) | (F.col("low") == F.col("high"))
-    return left.join(right, ["key", "low", "high"]).filter(order if order is not None else F.col("a") < F.col("b")).filter(across).select("a", "b")
+    placed = rows.join(F.broadcast(hot), "key", "left")
+    i = F.pmod(F.xxhash64("a"), F.col("g")).cast("int")
+    # cell (i, o) holds the pairs between these two groups; a key that isn't hot is a cell itself, without a group
+    others = F.when(F.col("g").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("g") - 1))
+    cells = placed.select("key", "a", i.alias("i"), F.explode(others).alias("o"))
+    cell = F.when(F.col("i").isNull(), F.col("key").cast("bigint")).otherwise(F.xxhash64("key", F.least("i", "o"), F.greatest("i", "o")))
+    left = cells.select(cell.alias("cell"), "a", "i", (F.col("i") == F.col("o")).alias("own"))
+    right = cells.select(cell.alias("cell"), F.col("a").alias("b"), F.col("i").alias("j"))
+    across = F.col("i").isNull() | (F.col("i") != F.col("j")) | F.col("own")
+    return left.join(right, "cell").filter(order if order is not None else F.col("a") < F.col("b")).filter(across).select("a", "b")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -243,4 +250,13 @@ def p2_groups(spark, sf_dir):
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-SQL: dict[str, str] = {}
+#: Brute force over all pairs of rows that share a run of three terms.
+SQL = {
+    "p2_found": r"""
+        with k as (select * from (select rec_id, url, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') w from crawl_document where text is not null) where len(w) >= 20),
+        s as (select rec_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) g from k),
+        n as (select rec_id, count(*) c from s group by 1),
+        p as (select a.rec_id r1, b.rec_id r2, count(*) x from s a join s b on a.g = b.g and a.rec_id < b.rec_id group by 1, 2)
+        select r1 as rec_id_1, r2 as rec_id_2 from p join n n1 on r1 = n1.rec_id join n n2 on r2 = n2.rec_id join k k1 on r1 = k1.rec_id join k k2 on r2 = k2.rec_id
+        where x / (n1.c + n2.c - x) >= 0.6 and k1.url <> k2.url""",
+}

@@ -309,5 +309,15 @@ def p5_statistics(spark, sf_dir):
     return statistics(spread(table(spark, sf_dir, "crawl_document").select("rec_id", "text"), "rec_id"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_statistics": p5_statistics}
-SQL: dict[str, str] = {}
+def p5_counts(spark, sf_dir):
+    """Characters, words and the mean length of the words of each text."""
+    return p5_statistics(spark, sf_dir).select("rec_id", "n_chars", "n_words", "word_chars", "mean_word_length")
+
+
+QUERIES = {"p5_found": p5_found, "p5_statistics": p5_statistics, "p5_counts": p5_counts}
+SQL = {
+    "p5_counts": r"""
+        select rec_id, length(text) n_chars, len(w) n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) word_chars,
+            case when len(w) > 0 then round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) end mean_word_length
+        from (select rec_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') w from crawl_document where text is not null)""",
+}

@@ -71,14 +71,23 @@ class SuffixAutomaton:
         return out
 
 
+WINDOW = 100_000
 PIECE = re.compile(r"\w+|[^\w\s]")
 
 
 def covered_share(pieces: list[str], sizes: list[int], min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT) -> float:
-    """Share of the characters that lie in a repeated substring of ``min_chars`` or more; 0 for nothing."""
+    """Share of the characters that lie in a repeated substring of ``min_chars`` or more; 0 for nothing.
+
+    Of contents longer than ``WINDOW`` symbols each stretch of that length has an automaton of its own, which bounds the memory.
+    """
     total = sum(sizes)
     if not total:
         return 0.0
+    return sum(_covered(pieces[at : at + WINDOW], sizes[at : at + WINDOW], min_chars, min_count) for at in range(0, len(pieces), WINDOW)) / total
+
+
+def _covered(pieces: list[str], sizes: list[int], min_chars: int, min_count: int) -> int:
+    """Characters that repeated substrings cover."""
     sums = [0]
     for n in sizes:
         sums.append(sums[-1] + n)
@@ -90,7 +99,7 @@ def covered_share(pieces: list[str], sizes: list[int], min_chars: int = MIN_CHAR
             low = min(low, begin)
         if at >= low:
             covered += sizes[at]
-    return covered / total
+    return covered
 
 
 def repeated_coverage(text: str, min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT) -> float:

@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
 from itertools import chain
@@ -39,6 +40,10 @@ OFTEN = 0.25
 #: hundreds of pages, texts on more than ``FRAME_SHARE + KEPT_SHARE`` of the pages are thus always found, and none below ``FRAME_SHARE``.
 KEPT_SHARE = 0.01
 
+#: A page of more runs of lines than this adds no nodes to the wrapper (its texts count, and its lines are aligned all the same);
+#: streams whose lengths' product is larger than the second number are aligned greedily.
+LONGEST_STREAM, LARGEST_TABLE = 2_000, 4_000_000
+
 TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9]*)([^<>]*)>")
 ANY_TAG = re.compile(r"<[^<>]*>")
 CLASS = re.compile(r"""(?:class|id)\s*=\s*["']?([^"'\s>]+)""", re.I)
@@ -315,7 +320,9 @@ class Wrapper:
         if rare:
             tokens = page.tokens = tuple(_general(t) if t in rare else t for t in tokens)
         page.by = self
-        for node, run in zip(self.align(tokens), page.runs):
+        for node, run in zip(self.align(tokens, grow=len(tokens) <= LONGEST_STREAM), page.runs):
+            if node is None:
+                continue
             node.n += 1
             node.runs += len(run) > 1
             node.heads += page.head in run
@@ -351,8 +358,7 @@ class Wrapper:
         out: list[Node | None] = list(self.nodes[:low])
         merged = list(self.nodes[:low])
         middle = self.nodes[low : len(own) - high]
-        match = SequenceMatcher(None, own[low : len(own) - high], tokens[low : len(tokens) - high], autojunk=False)
-        for kind, a, b, c, d in match.get_opcodes():
+        for kind, a, b, c, d in _differences(own[low : len(own) - high], tokens[low : len(tokens) - high]):
             merged += middle[a:b]
             if kind == "equal":
                 out += middle[a:b]
@@ -382,6 +388,27 @@ class Wrapper:
         return out
 
 
+def _differences(nodes: list[str], tokens: tuple[str, ...]) -> list[tuple[str, int, int, int, int]]:
+    """Edit steps from nodes to tokens, as of ``SequenceMatcher``; very long streams are matched greedily in linear time."""
+    if len(nodes) * len(tokens) <= LARGEST_TABLE:
+        return SequenceMatcher(None, nodes, tokens, autojunk=False).get_opcodes()
+    places: dict[str, list[int]] = {}
+    for k, token in enumerate(nodes):
+        places.setdefault(token, []).append(k)
+    out, a, c = [], 0, 0
+    for d, token in enumerate(tokens):
+        found = places.get(token, ())
+        k = bisect_left(found, a)
+        if k < len(found):
+            b = found[k]
+            if b > a or d > c:
+                out.append(("replace", a, b, c, d))
+            out.append(("equal", b, b + 1, d, d + 1))
+            a, c = b + 1, d + 1
+    out.append(("replace", a, len(nodes), c, len(tokens)))
+    return out
+
+
 def _rare_classes(pages: list[Page]) -> set[str]:
     """Tokens with a class that a single page of the block has: the class tells nothing."""
     found: dict[str, int] = {}

@@ -60,7 +60,7 @@ def test_pairs_of_a_hot_key_are_spread_over_a_grid(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HOT_ROWS", 5)
     monkeypatch.setattr(neardup, "HOT_SHARE", 1000)
     rows = [(1 if k % 3 else k % 7, k) for k in range(90)]
-    got = [tuple(r) for r in neardup.grid_pairs(frame(spark, rows, "key int, v bigint"), "key", "v").collect()]
+    got = [tuple(r) for r in neardup.grid_pairs(frame(spark, rows, "key bigint, v bigint"), "key", "v").collect()]
     want = [(a, b) for x, a in rows for y, b in rows if x == y and a < b]
     assert sorted(got) == sorted(want)
 
@@ -289,6 +289,19 @@ def test_labels_follow_the_nodes_of_the_wrapper():
     assert [wrapper.Layout(votes).label(p) for p in fragments] != right or [wrapper.Layout(mixed).label(p) for p in fragments] != right
 
 
+def test_very_long_pages_take_linear_time():
+    import time
+
+    begun = time.perf_counter()
+    body = html("Long page of all", [f"<p>{k} {x}</p>" if k % 2 else f"<div>{x} {k}</div>" for k, x in enumerate(["word here"] * 40_000)])
+    long = wrapper.Page(body)
+    layout = wrapper.Layout(wrapper.Wrapper.of(host_pages() + [long]))
+    labels = layout.label(long)
+    assert len(labels) == 40_001 and len(layout.wrapper.nodes) < 200
+    assert 0 <= spam.repetition([long.lines[k].raw for k, _ in labels]) <= 1
+    assert time.perf_counter() - begun < 60
+
+
 def test_hosts_in_several_blocks(spark, monkeypatch):
     df = frame(spark, crawl_rows(), "rec_id bigint, url string, site string, body string")
     whole = sorted(map(tuple, pages.main_content(df).collect()))
