@@ -361,7 +361,15 @@ def doc_vectors_rank(spark, d):
     return rank.top_k(rows.select("query_id", "doc_id", F.round(dot("a", "b") / F.greatest(F.sqrt(dot("a", "a") * dot("b", "b")), F.lit(1e-12)), 6).alias("score")))
 
 
-@query("libsvm_clicks")
+@query(
+    "libsvm_clicks",
+    f"""with c as ({_SHOWN}), qc as (select query_id, term, count(*) tf from (select query_id, unnest({_W.format('query')}) term from queries) group by 1, 2),
+    dc as (select doc_id, term, count(*) tf from (select doc_id, unnest({_W.format('text')}) term from documents) group by 1, 2),
+    v as (select term, row_number() over (order by term) idx from (select distinct term from qc)),
+    qp as (select query_id, string_agg(idx || ':' || tf, ' ' order by idx) part from qc join v using (term) group by 1),
+    dp as (select doc_id, string_agg((idx + (select count(*) from v)) || ':' || tf, ' ' order by idx) part from dc join v using (term) group by 1)
+    select query_id, doc_id, concat_ws(' ', cast(clicked as varchar), qp.part, dp.part) line from c left join qp using (query_id) left join dp using (doc_id)""",
+)
 def libsvm_clicks(spark, d):
     """Click dataset in the sparse text form: query terms, then document terms, with term numbers by frequency."""
     shown = rank.shown(table(spark, d, "clicks"))
