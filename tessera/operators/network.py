@@ -80,6 +80,20 @@ class Rbm:
         z = v @ self.w + self.c
         return -(v @ self.b) - np.logaddexp(0, z).sum(axis=1)
 
+    def log_likelihood(self, rows: DataFrame) -> float:
+        """Mean exact log-likelihood of rows of binary units; the normaliser is summed over all states of the hidden units, at most 2^20."""
+        hidden = len(self.c)
+        if hidden > 20:
+            raise ValueError("too many hidden units for the exact normaliser")
+        total = -np.inf
+        for at in range(0, 1 << hidden, 4096):  # a block of states of the hidden units at a time
+            states = np.arange(at, min(1 << hidden, at + 4096))
+            h = (states[:, None] >> np.arange(hidden) & 1).astype(float)
+            z = h @ self.c + np.logaddexp(0, h @ self.w.T + self.b).sum(axis=1)
+            total = np.logaddexp(total, np.logaddexp.reduce(z))
+        summed, n = _sum(rows.select("row", "x"), lambda v, _, ids: np.array([-self.free_energy(v).sum()]), 1)
+        return float(summed[0] / max(n, 1) - total) if n else 0.0
+
     def pseudo_likelihood(self, rows: DataFrame) -> float:
         """Mean log-likelihood of one entry of each row given the others, times the entries: a monitor of the training of binary units."""
 

@@ -202,6 +202,28 @@ def query_dictionary(spark, d):
     return files.keyed_lines(spark, path, "query_id", "query", "\t")
 
 
+@query("url_dictionary", "select rec_id as idx, url from crawl_document where not regexp_matches(url, '[\\s\"]')")
+def url_dictionary(spark, d):
+    """Urls by number from a file of quoted lines, looked up by the url without its quotation marks."""
+    path = _path(spark, "index")
+    rows = table(spark, d, "crawl_document").filter(~F.col("url").rlike(r'[\s"]')).select("rec_id", "url")
+    rows.select(F.concat(F.col("rec_id").cast("string"), F.lit(' "'), "url", F.lit('"')).alias("line")).write.text(path)
+    return files.keyed_lines(spark, path, "idx", "url")
+
+
+@query("model_persistence", "select cast(0 as bigint) n_differences, count(*) n from part")
+def model_persistence(spark, d):
+    """A model stored and loaded again predicts the same for every row."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row"), array_to_vector(F.array(F.col("p_size").cast("double"), F.length("p_name").cast("double"))).alias("features"), F.col("p_retailprice").cast("double").alias("y"))
+    path, model = _path(spark, "model"), DecisionTreeRegressor(labelCol="y", maxDepth=3, seed=1).fit(rows)
+    model.write().overwrite().save(path)
+    both = model.transform(rows).select("row", F.col("prediction").alias("a")).join(DecisionTreeRegressionModel.load(path).transform(rows).select("row", F.col("prediction").alias("b")), "row")
+    return both.agg(F.sum((F.col("a") != F.col("b")).cast("bigint")).alias("n_differences"), F.count("*").alias("n"))
+
+
 @query("gazetteer_terms", "select lower(n_name) term from nation union select 'atlantis'")
 def gazetteer_terms(spark, d):
     """Names of places from a windows-1251 file, with one added by hand."""
@@ -394,6 +416,21 @@ def recall_repeats(spark, d):
     return metrics.repeated_recall(words, rows.select("rec_id"), "rec_id", "feature", REPEATS, 0.01)
 
 
+@query("frequent_features", r"with s as (select rec_id, unnest(list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) seg from crawl_document) select seg as feature, count(*) n from s group by 1 having count(*) > 2 * 0.05 * 100")
+def frequent_features(spark, d):
+    """Path segments on more than twice a twentieth of a hundred urls (the sample size of the exercise, here 100)."""
+    segments = _crawl(spark, d, "url").select(F.explode(F.filter(F.split(url.path_of(F.col("url")), "/"), lambda x: x != "")).alias("feature"))
+    return url.feature_counts(segments).filter(F.col("n") > 2 * 0.05 * 100)
+
+
+@query("variant_groups", "select query_id, count(*) n_variants, string_agg(v, ',' order by v) variants from (select query_id, query_id || '_' || k v from queries, (select unnest(range(0, 3)) k) where (query_id + k) % 2 = 0) group by 1")
+def variant_groups(spark, d):
+    """Variants grouped by the query their id <query>_<number> begins with."""
+    ids = table(spark, d, "queries").select(F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda k: F.pmod(F.col("query_id") + k, F.lit(2)) == 0), lambda k: F.concat_ws("_", F.col("query_id"), k))).alias("id"))
+    grouped = ids.groupBy(F.split("id", "_")[0].cast("bigint").alias("query_id")).agg(F.count("*").alias("n_variants"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return grouped.select("query_id", "n_variants", F.array_join("ids", ",").alias("variants"))
+
+
 # ---- splits, samples, scores
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import classification, evaluation, feature, regression, tuning
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -134,6 +135,14 @@ def tfidf_similarities(spark, d):
     return _similarities(spark, d).select("query_id", "doc_id", *[F.round(c, 6).alias(c) for c in rank.VECTOR[:4]])
 
 
+@query("similarity_order", f"{_SIMS} select query_id, doc_id, round(tfidf_text, 6) sim, cast(row_number() over (partition by query_id order by round(tfidf_text, 6) desc, doc_id) as int) place from s")
+def similarity_order(spark, d):
+    """All shown documents of each query in the order of their similarity."""
+    sims = _similarities(spark, d).select("query_id", "doc_id", F.round("tfidf_text", 6).alias("sim"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "doc_id")  # a query's shown documents, each once
+    return sims.withColumn("place", F.row_number().over(w))
+
+
 _TOP5 = "p as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) place from r) select query_id, doc_id, score, cast(place as int) place from p where place <= 5"
 
 

@@ -285,6 +285,7 @@ def test_network_learns(spark):
     small = network.Rbm(3, 2, seed=3)
     every = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)], dtype=float)
     p = np.exp(-small.free_energy(every))
+    assert abs(small.log_likelihood(design(spark, every, every[:, 0])) - np.log(p / p.sum()).mean()) < 1e-9
     exact = lambda v, i: np.log(p[int(v @ [4, 2, 1])] / (p[int(v @ [4, 2, 1])] + p[int(np.abs(v - np.eye(3)[i]) @ [4, 2, 1])]))
     want = np.mean([3 * exact(v, k % 3) for k, v in enumerate(every)])
     assert abs(small.pseudo_likelihood(design(spark, every, every[:, 0])) - want) < 1e-9
