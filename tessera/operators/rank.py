@@ -53,10 +53,16 @@ def weighed(counts: DataFrame, weights: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(known) if weights.count() <= BROADCAST_TERMS else known, "term")
 
 
-def tfidf(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """``key, term, weight``: tf * idf, each document's vector of length 1; terms outside ``weights`` and of weight 0 drop out."""
+def tfidf(counts: DataFrame, weights: DataFrame, key: str, only: DataFrame | None = None) -> DataFrame:
+    """``key, term, weight``: tf * idf, each document's vector of length 1; terms outside ``weights`` and of weight 0 drop out.
+
+    With ``only`` (term) the rows of other terms are left out after they have counted for the length: what a query doesn't
+    ask for needn't be shuffled.
+    """
     raw = weighed(counts, weights).withColumn("raw", F.col("tf") * F.col("idf")).filter("raw > 0")
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    if only is not None:
+        raw = raw.join(F.broadcast(only) if only.count() <= BROADCAST_TERMS else only, "term", "left_semi")
     return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
@@ -182,9 +188,10 @@ def similarities(pairs: DataFrame, queries: DataFrame, docs: DataFrame, n_docs:
     out = pairs.select("query_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     for label, two in (("tfidf", False), ("tfidf2", True)):
         weights = keep(idf(term_counts(whole, "doc_id", "whole", two), n_docs), label)
-        asked = tfidf(term_counts(queries.select("query_id", "query"), "query_id", "query", two), weights, "query_id")
+        counts = term_counts(queries.select("query_id", "query"), "query_id", "query", two)
+        asked, terms = tfidf(counts, weights, "query_id"), counts.select("term").distinct()
         for c in PARTS:
-            sims = cosine(asked, tfidf(term_counts(docs, "doc_id", c, two), weights, "doc_id"), pairs)
+            sims = cosine(asked, tfidf(term_counts(docs, "doc_id", c, two), weights, "doc_id", terms), pairs)
             out = out.join(sims.withColumnRenamed("sim", f"{label}_{c}"), ["query_id", "doc_id"], "left")
     return out.select("query_id", "doc_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in VECTOR[:4]])
 

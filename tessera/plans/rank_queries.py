@@ -87,7 +87,7 @@ def tfidf(spark, d):
 def _similar(spark, d):
     counts, idf = _weights(spark, d)
     asked = rank.term_counts(table(spark, d, "queries"), "query_id", "query")
-    return rank.cosine(rank.tfidf(asked, idf, "query_id"), rank.tfidf(counts, idf, "doc_id"), rank.shown(table(spark, d, "clicks")))
+    return rank.cosine(rank.tfidf(asked, idf, "query_id"), rank.tfidf(counts, idf, "doc_id", asked.select("term").distinct()), rank.shown(table(spark, d, "clicks")))
 
 
 @query("tfidf_cosine", f"with {_TFIDF}, {_QUERY_WEIGHTS}, c as ({_SHOWN}) select query_id, doc_id, round(sum(qw.weight * dw.weight), 6) sim from c join qw using (query_id) join dw using (doc_id, term) group by 1, 2")
