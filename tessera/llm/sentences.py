@@ -106,7 +106,7 @@ def candidates(text: str) -> list[Candidate]:
     for m in MARKS.finditer(text):
         at, end = m.start(), m.end()
         quoted = spans and within(at)
-        while end < len(text) and text[end] in CLOSERS and not (text[end] in "\"“'" and not quoted and not _closes(ends, end)):
+        while end < len(text) and text[end] in CLOSERS and (_closes(ends, end) or text[end] != "“" and (quoted or text[end] not in "\"'")):
             end += 1
         if end == len(text) or spans and within(end):
             continue
