@@ -43,6 +43,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     One parquet file with a single row group is one task however large the cluster is, which is
     fatal ahead of a Python stage. Inputs made of many files are returned as they are.
     """
+    ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if len(df.inputFiles()) >= sc.defaultParallelism:
         return df
@@ -74,6 +75,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     of running an expensive stage again. The files are removed when the driver process ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
