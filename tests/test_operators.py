@@ -360,3 +360,52 @@ def test_every_query_word_can_be_replaced(spark, tmp_path):
     assert len({r.term for r in rank_queries._synonyms(spark, str(tmp_path)).collect()}) < len(words)
     variants = rank_queries.query_variants(spark, str(tmp_path)).filter("replaced > 0")
     assert {r.query_id for r in variants.collect()} == set(range(len(words)))
+
+
+def test_variants_are_merged_without_a_row_each(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{c}" for c in "abcdefghijklmnop"]
+    docs = [(n, rng.choice([None, "", " ".join(rng.choices(words, k=3))]), None if n == 7 else " ".join(rng.choices(words, k=25))) for n in range(40)]
+    texts = ["wa wb", "wa wa wb wa", " ".join(words[:5]), "wc zzz 12", "wd wd wd wd we wd wd", " ".join(words[:11]), None, "?"]
+    asked = list(enumerate(texts))
+    clicks = [(q, rng.sample(range(45), 12), [1]) for q, _ in asked] + [(99, [1, 2], None), (0, [0, 3, 44], [3])]
+    for name, rows, kind in (("documents", docs, "doc_id bigint, title string, text string"), ("queries", asked, "query_id bigint, query string"), ("clicks", clicks, "query_id bigint, serp array<bigint>, clicked array<bigint>")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    synonyms = spark.createDataFrame([(w, x, 0.95 - k / 50) for w in words for k, x in enumerate([*rng.sample([x for x in words if x != w], 3), f"new{w}"])], "term string, synonym string, sim double")
+    d = str(tmp_path)
+    pairs, queries = rank.shown(spark.read.parquet(f"{d}/clicks.parquet")), spark.read.parquet(f"{d}/queries.parquet")
+    variants = rank.query_variants(queries, synonyms).filter("variant > 0").withColumn("v", F.col("query_id") * 100_000 + F.col("variant")).cache()
+    each = rank_queries._first_rank(spark, d, pairs.join(variants, "query_id").select(F.col("v").alias("query_id"), "doc_id"), variants.select(F.col("v").alias("query_id"), "query"))
+    extra = each.withColumnRenamed("query_id", "v").join(variants.select("v", "query_id", "replaced"), "v").select("query_id", "doc_id", "score", "replaced")
+    want = {(r.query_id, r.doc_id): r.score for r in rank.merge_variants(rank_queries._first_rank(spark, d), extra).collect()}
+    assert variants.count() > 2000 and max(want.values()) > 100
+
+    def never(*_, **__):
+        raise AssertionError("a variant became a row")
+
+    monkeypatch.setattr(rank, "query_variants", never)
+    monkeypatch.setattr(rank_queries, "_synonyms", lambda *_: synonyms)
+    got = {(r.query_id, r.doc_id): r.score for r in rank_queries.variant_merge(spark, d).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-5 for k in want)
+
+
+def test_sums_of_variants_in_any_parts():
+    rng = np.random.default_rng(2)
+    sizes, n_docs = [3, 1, 2, 3], 7
+    rows = [(p, a, -1, int(rng.integers(5))) for p in range(4) for a in range(sizes[p])] + [(p, a, b, int(rng.integers(10, 13))) for p in range(3) for a in range(sizes[p]) for b in range(sizes[p + 1]) if rng.random() < 0.7]
+    p, a, b, key = (np.array(c) for c in zip(*sorted(rows)))
+    idf = (rng.random(13) + 0.1)[key]
+    at, doc = (x.ravel() for x in np.meshgrid(np.arange(len(p)), np.arange(n_docs)))
+    w, prior = rng.random((13, n_docs))[key[at], doc], rng.random(n_docs)
+    want = np.zeros(n_docs)
+    for v in itertools.product(*map(range, sizes)):
+        sim = np.zeros(n_docs)
+        for kind in (b < 0, b >= 0):
+            has = [i for i in np.flatnonzero(kind) if v[p[i]] == a[i] and (b[i] < 0 or v[p[i] + 1] == b[i])]
+            tf = {k: sum(key[i] == k for i in has) * idf[key == k][0] for k in {int(key[i]) for i in has}}
+            for k, x in tf.items():
+                sim += x / sum(y * y for y in tf.values()) ** 0.5 * w[np.flatnonzero(at == np.flatnonzero(key == k)[0])]
+        want += 0.99 ** sum(o > 0 for o in v) * np.round(sim / sim.max() + prior, 6)
+    for parts in ({}, {"cells": 10}, {"cells": 60, "block": 3}, {"block": 2}):
+        assert np.allclose(rank.variant_sums(sizes, p, a, b, key, idf, at, doc, w, prior, **parts), want, atol=1e-4)
